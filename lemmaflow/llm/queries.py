@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, packing, quality, sharding, substring
+from . import jaccard, packing, quality, sharding, substring, template
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.extracted(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(table(spark, sf_dir, "documents"), keep_text=False)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "source", "n_failed_rules")
@@ -44,6 +48,7 @@ def queries() -> dict[str, Query]:
         "op3_stratified_sharding": op3_stratified_sharding,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_template_extraction": op7_template_extraction,
         "op10_quality_rules": op10_quality_rules,
     }
 
