@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, packing, quality, sharding, substring, template
+from . import jaccard, packing, quality, sharding, substring, template, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,11 @@ def op7_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template.extracted(table(spark, sf_dir, "pages"))
 
 
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(spark, manifest, payload=False).drop("target_uri")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(table(spark, sf_dir, "documents"), keep_text=False)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "source", "n_failed_rules")
@@ -49,6 +54,7 @@ def queries() -> dict[str, Query]:
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_template_extraction": op7_template_extraction,
+        "op9_warc_round_trip": op9_warc_round_trip,
         "op10_quality_rules": op10_quality_rules,
     }
 
