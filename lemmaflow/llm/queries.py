@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard, packing, quality, sharding, substring, template, warc
+from . import jaccard, packing, quality, sharding, substring, template, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,13 @@ def op3_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.trained(docs, table(spark, sf_dir, "labels"), may_learn=toxicity.crc_remainder("doc_id", 3) != 1)
+    out = toxicity.scored(docs, model)
+    return out.select("doc_id", F.coalesce(toxicity.crc_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -51,6 +59,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
         "op3_stratified_sharding": op3_stratified_sharding,
+        "op4_toxicity": op4_toxicity,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_template_extraction": op7_template_extraction,
