@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, packing, quality, sharding, substring, template, toxicity, warc
+from . import decontaminate, jaccard, language_model, packing, quality, sharding, substring, template, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,11 @@ def op7_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template.extracted(table(spark, sf_dir, "pages"))
 
 
+def op8_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = toxicity.crc_remainder("doc_id", 7) == 2
+    return language_model.scored(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, held)
+
+
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(spark, manifest, payload=False).drop("target_uri")
@@ -69,6 +74,7 @@ def queries() -> dict[str, Query]:
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_template_extraction": op7_template_extraction,
+        "op8_attention_scores": op8_attention_scores,
         "op9_warc_round_trip": op9_warc_round_trip,
         "op10_quality_rules": op10_quality_rules,
     }
