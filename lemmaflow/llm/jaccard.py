@@ -7,9 +7,11 @@ would put nearly all rows into one region. The join therefore descends:
 1. Documents with equal shingle sets (distance 0) fall together into one point.
 2. Pivots of the first level are single shingles: a point's distance to pivot
    ``{s}`` is ``1 - 1/n`` if it holds s, else 1. All pivots that it holds tie, and
-   a fixed order of the hashes breaks the tie; the window around that cell is the
+   one order of all shingles breaks the tie; the window around that cell is the
    first ``n - ceil(t n) + 1`` pivots of its own. Two points within eps have a
-   common pivot in their windows, so each linked pair meets in a region.
+   common pivot in their windows, so each linked pair meets in a region. Any one
+   order is exact; here it is by hash, with shingles of crowded regions last, for
+   which the lower hashes of all documents are counted once.
 3. In a region the pivot of the next level is a document. Every member is held
    against it; those within eps link to it and collapse into its component.
 4. What is still apart joins recursively: large regions are split, members that
@@ -44,8 +46,10 @@ from .components import connected_components
 from .store import written
 from .text import Block, blocks, mix, window_hash
 
-BINS = 64
+BINS = 256
 PART = 2000
+#: A shingle in more windows than this goes last in the order, up to so many shingles.
+CROWD, MOST_CROWDED = 32, 1 << 20
 
 
 def shingle_sets(block: Block, k: int) -> Iterator[np.ndarray]:
@@ -62,7 +66,38 @@ def shingle_sets(block: Block, k: int) -> Iterator[np.ndarray]:
             yield hashes[:0]
 
 
-def points(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _window(size: int, num: int, den: int) -> int:
+    return size - -(-num * size // den) + 1
+
+
+def crowded(docs: DataFrame, k: int, num: int, den: int) -> np.ndarray:
+    """Sorted hashes of the shingles that crowd the windows; an order's bounded part, on which no result depends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("text"), lower=True):
+                low = [s[: _window(len(s), num, den) * 3 // 2 + 4] for s in shingle_sets(block, k)]
+                keys, counts = np.unique(np.concatenate(low), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "c": pa.array(counts)})
+
+    counted = docs.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") > CROWD)
+    found = [r[0] for r in counted.orderBy(F.desc("c"), "key").limit(MOST_CROWDED).select("key").toLocalIterator()]
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
+def _first(s: np.ndarray, last: np.ndarray, p: int) -> np.ndarray:
+    """The first p of a sorted set in the order that puts ``last`` behind the others."""
+    if not len(last):
+        return s[:p]
+    for part in (s[: 2 * p + 16], s):
+        late = last[np.minimum(np.searchsorted(last, part), len(last) - 1)] == part
+        early = part[~late]
+        if len(early) >= p:
+            return early[:p]
+    return np.concatenate([early, part[late]])[:p]
+
+
+def points(docs: DataFrame, last: np.ndarray, k: int, num: int, den: int) -> DataFrame:
     """Per document: n, two signatures of the set, its pivots and its histogram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,8 +109,8 @@ def points(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     n.append(size)
                     one.append(int(mix(s).sum(dtype=np.uint64)))
                     two.append(int(mix(s * np.uint64(3) + np.uint64(7)).sum(dtype=np.uint64)))
-                    pivots.append(s[: size - -(-num * size // den) + 1 if size else 0].view(np.int64))
-                    pooled.append(np.minimum(np.bincount((s >> np.uint64(7)).astype(np.int64) % BINS, minlength=BINS), 65535).astype("<u2").tobytes())
+                    pivots.append(_first(s, last, _window(size, num, den) if size else 0).view(np.int64))
+                    pooled.append(np.minimum(np.bincount((s >> np.uint64(7)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes())
             ends = np.cumsum([0, *map(len, pivots)])
             yield pa.RecordBatch.from_pydict(
                 {
@@ -97,7 +132,7 @@ def _near(size: np.ndarray, apart: np.ndarray, num: int, den: int) -> np.ndarray
 
 
 def _pooled(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, BINS).astype(np.int32)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
 
 
 def _can_link(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -108,7 +143,7 @@ def _can_link(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                apart = np.abs(_pooled(batch.column("pa")) - _pooled(batch.column("pb"))).sum(axis=1)
+                apart = np.abs(_pooled(batch.column("pa")) - _pooled(batch.column("pb"))).sum(axis=1, dtype=np.int64)
                 size = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
                 kept = pa.array(_near(size, apart, num, den))
                 yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(kept)
@@ -118,7 +153,7 @@ def _can_link(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(a, b) pairs whose whole texts link."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")  # with its size known, Catalyst broadcasts it only if small
     texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
@@ -144,7 +179,7 @@ def _with_components(regions: DataFrame, comps: DataFrame) -> DataFrame:
 def _apart(regions: DataFrame, comps: DataFrame) -> DataFrame:
     """Members of regions that span more than one component and hold more than the pivot and one other."""
     named = written(_with_components(regions.where("cnt > 2"), comps), "members")
-    spread = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("node") == F.col("pivot"), F.col("comp"))).alias("home")).where("lo != hi").select("key", "home")
+    spread = written(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("node") == F.col("pivot"), F.col("comp"))).alias("home")).where("lo != hi").select("key", "home"), "spread")
     return named.join(spread, "key")
 
 
@@ -166,7 +201,7 @@ def _candidates(members: DataFrame, nodes: DataFrame, most: int, num: int, den:
         if len(np.unique(at["comp"])) < 2:
             return
         for i in own:
-            apart = np.abs(pooled - pooled[i]).sum(axis=1)
+            apart = np.abs(pooled - pooled[i]).sum(axis=1, dtype=np.int64)
             ok = _near(at["n"] + at["n"][i], apart, num, den) & (at["comp"] != at["comp"][i])
             found = np.flatnonzero(ok)
             if len(found):
@@ -210,28 +245,32 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     """Per row of ``docs``: doc_id, n_shingles and component_id, the least doc_id reachable by links.
 
     Two documents link when ``den * intersection >= num * union`` of their k-word shingle sets."""
-    all_points = written(points(docs, k, num, den), "points")
+    all_points = written(points(docs, crowded(docs, k, num, den), k, num, den), "points")
     light = all_points.select("doc_id", "n", "sig1", "sig2")
     same = written(light.where("n > 0 and doc_id is not null").groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("node")), "same")
-    nodes = written(all_points.where("n > 0").join(same.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "n", "sig1", "sig2"]), "nodes")
+    extra = written(light.join(same, ["n", "sig1", "sig2"]).where("doc_id != node").select("doc_id").distinct(), "extra")
+    nodes = all_points.where("n > 0 and doc_id is not null").join(extra, "doc_id", "left_anti")
     rows = nodes.select(F.col("doc_id").alias("node"), F.explode("pivots").alias("key"))
-    found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min("node").alias("pivot")).where("cnt > 1")
+    # A written count has a shuffle of its own in the join, so a crowded key's rows can be split there.
+    found = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min("node").alias("pivot")).where("cnt > 1"), "found")
     regions = written(rows.join(found, "key"), "regions")
-    stars = regions.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = written(_verified(written(_can_link(stars, nodes, num, den), "pairs"), docs, k, num, den), "links")
+    stars = regions.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    tested = written(_can_link(stars, nodes, num, den), "pairs")
+    links = written(_verified(tested, docs, k, num, den), "links")
     comps = connected_components(links)
-    most = 4
+    most = 16
     while True:
         offered = written(_candidates(_apart(regions, comps), nodes, most, num, den), "offered")
         pairs = offered.where("not held").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if pairs.isEmpty():
-            break
-        more = written(_verified(written(pairs, "pairs"), docs, k, num, den), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            comps = connected_components(links)
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            more = written(_verified(pairs, docs, k, num, den), "links")
+            if not more.isEmpty():
+                links = links.union(more)
+                comps = connected_components(links)
+            tested = tested.union(pairs)
         if offered.where("held").isEmpty():
             break
-        most *= 8
+        most *= 16
     grouped = light.join(same, ["n", "sig1", "sig2"], "left").join(comps.withColumnRenamed("comp", "_comp"), "node", "left")
     return grouped.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("_comp", "node", "doc_id")).alias("component_id"))
