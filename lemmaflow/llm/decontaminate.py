@@ -9,8 +9,9 @@ lies whole in a passage. The steps:
 2. Passages that could match: a match shares ``TELLING`` of a piece's telling
    words, so a passage with fewer telling words than any piece asks for is out,
    exactly. The others are written once, a small table.
-3. A distributed randomised SVD of the TF-IDF matrix of these passages and, at
-   equal weight, of the pieces: tasks sum ``A^T A Q`` and the driver holds only
+3. A distributed randomised SVD of the TF-IDF matrix (words in more than one
+   document of ``STOP`` left out) of these passages and, at equal weight, of the
+   pieces: tasks sum ``A^T A Q`` and the driver holds only
    matrices of vocabulary times rank.
 4. Cosine search in the latent space: pieces against all passages of the table.
 5. Candidates are verified: the longest common subsequence with the piece, in
@@ -34,32 +35,39 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
-from .text import Block, blocks
+from .text import Block, as_strings, blocks
 
-PIECE, RARE, TELLING = 48, 200, 0.4
+PIECE, RARE, STOP, TELLING = 48, 200, 20, 0.4
 LCS, LCS_LOOSE, ANSWER = 0.6, 0.45, 0.8
 RANK, EXTRA, COSINE = 128, 16, 0.3
 BLOCK_ITEMS = 20_000
 _TRIM = np.zeros(256, bool)
-_TRIM[[ord(c) for c in ".,;:!?\"'()[]"]] = True
+_TRIM[[ord(c) for c in ".,;:!?\"'()[]#*$%&|<>_-"]] = True
+
+
+def folded(column: pa.Array) -> Iterator[Block]:
+    """Blocks of the texts in lower case, of all letters."""
+    return blocks(pc.utf8_lower(as_strings(column)))
 
 
 def trimmed(block: Block) -> np.ndarray:
-    """Hashes of words without one leading and one trailing mark."""
+    """Hashes of words without up to three marks at either end."""
     starts, ends = block.starts, block.ends
     if not len(starts):
         return block.hashes
-    ends = ends - (_TRIM[block.data[ends - 1]] & (ends - starts > 1))
-    starts = starts + (_TRIM[block.data[starts]] & (ends - starts > 1))
+    for _ in range(3):
+        ends = ends - (_TRIM[block.data[ends - 1]] & (ends - starts > 1))
+        starts = starts + (_TRIM[block.data[starts]] & (ends - starts > 1))
     return block.span_hash(starts, ends)
 
 
 def word_hashes(text: str) -> np.ndarray:
-    return next((trimmed(b) for b in blocks(pa.array([text], pa.large_string()), lower=True, limit=1 << 62)), np.zeros(0, np.uint64))
+    return np.concatenate([np.zeros(0, np.uint64), *(trimmed(b) for b in folded(pa.array([text], pa.large_string())))])
 
 
 @dataclass
@@ -87,6 +95,15 @@ def cut(items: list[tuple[int, str]]) -> Pieces:
     return Pieces(np.array(ids, np.int64), [at(w) for w in hashed], [at(w) for w in answers], vocabulary)
 
 
+def weights_of(pieces: Pieces, n: int, df: np.ndarray) -> np.ndarray:
+    """Inverse document frequencies; 0 for words in more than one document of ``STOP``, but for pieces of hardly any others."""
+    stop = df > np.maximum(20, n // STOP)
+    for w in pieces.words:
+        if len(np.unique(w[~stop[w]])) < 3:
+            stop[w] = False
+    return np.where(stop, 0, np.log((n + 1) / (df + 0.5)).clip(0.05)).astype(np.float32)
+
+
 def places_in(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Places of words in a vocabulary, -1 for others."""
     at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
@@ -101,7 +118,7 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int,
         counts, n = np.zeros(size + 1, np.int64), 0
         for batch in batches:
             n += batch.num_rows
-            for block in blocks(batch.column("text"), lower=True):
+            for block in folded(batch.column("text")):
                 at = places_in(vocabulary, trimmed(block))
                 known = at >= 0
                 counts += np.bincount(np.unique(block.doc[known] * size + at[known]) % size, minlength=size + 1)
@@ -122,7 +139,7 @@ def possible_passages(docs: DataFrame, vocabulary: np.ndarray, telling: np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
-            for block in blocks(batch.column("text"), lower=True):
+            for block in folded(batch.column("text")):
                 at = places_in(vocabulary, trimmed(block))
                 sums = np.concatenate([[0], np.cumsum(telling[at] & (at >= 0))])
                 n = np.maximum(1, -(-(block.n_words - PIECE) // PIECE)) * (block.n_words > 0)
@@ -168,7 +185,7 @@ class Rows:
 def tf_idf(ends: np.ndarray, words: np.ndarray, idf: np.ndarray) -> Rows:
     n = len(ends) - 1
     row = np.repeat(np.arange(n), np.diff(ends))
-    known = words >= 0
+    known = (words >= 0) & (idf[words] > 0)
     key, counts = np.unique(row[known] * len(idf) + words[known], return_counts=True)
     row, word = key // len(idf), key % len(idf)
     value = (1 + np.log(counts)) * idf[word]
@@ -176,7 +193,7 @@ def tf_idf(ends: np.ndarray, words: np.ndarray, idf: np.ndarray) -> Rows:
     return Rows(row, word, (value / np.maximum(norm[row], 1e-12)).astype(np.float32), n)
 
 
-def _slices(batch: pa.RecordBatch, most: int = 2048) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _slices(batch: pa.RecordBatch, most: int = 512) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     lists = batch.column("words")
     ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
     for lo in range(0, len(lists), most):
@@ -274,7 +291,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float
             continue
         n, df = document_frequencies(docs, pieces.vocabulary)
         telling = df <= max(2, n // RARE)
-        idf = np.log((n + 1) / (df + 0.5)).clip(0.05).astype(np.float32)
+        idf = weights_of(pieces, n, df)
         least = min(int(np.ceil(TELLING * len(np.unique(w[telling[w]])))) for w in pieces.words)
         passages = written(possible_passages(docs, pieces.vocabulary, telling, least), "passages")
         ends = np.concatenate([[0], np.cumsum([len(w) for w in pieces.words])])
