@@ -256,10 +256,11 @@ def _applied(reps: DataFrame, width: int) -> DataFrame:
                                 gone[row["first"] + k] += 1
                                 gone[row["first"] + k + width] -= 1
                     keep = np.flatnonzero(np.cumsum(gone)[:-1] == 0) + lo
-                    text = b" ".join([raw[a:b] for a, b in zip(block.starts[keep].tolist(), block.ends[keep].tolist(), strict=True)])
                     removed.append(int(hi - lo - len(keep)))
-                    texts.append(text)
-                    digests.append(hashlib.sha256(text).hexdigest())
+                    digests.append(hashlib.sha256(b" ".join([raw[a:b] for a, b in zip(block.starts[keep].tolist(), block.ends[keep].tolist(), strict=True)])).hexdigest())
+                    runs = np.flatnonzero(np.append(True, np.diff(keep) != 1)) if len(keep) else keep
+                    last = np.append(runs[1:], len(keep)) - 1 if len(keep) else keep
+                    texts.append(b"\n".join([raw[a:b] for a, b in zip(block.starts[keep[runs]].tolist(), block.ends[keep[last]].tolist(), strict=True)]))
             yield pa.RecordBatch.from_pydict(
                 {"s1": batch.column("s1"), "s2": batch.column("s2"), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(texts, pa.binary()).view(pa.string()), "kept_sha256": pa.array(digests, pa.string())}
             )
@@ -277,13 +278,16 @@ def _bucketed(df: DataFrame) -> DataFrame:
 
 
 def repeated_removed(docs: DataFrame, width: int = 50, keep_text: bool = True) -> DataFrame:
-    """``docs`` without text, with n_words, n_removed, kept_sha256 and, if asked for, kept_text (kept words joined by one space)."""
+    """``docs`` without text, with n_words, n_removed, kept_sha256 (of the kept words, joined by one space) and, if
+    asked for, kept_text: the runs of kept words as they stand in the text, or in one with the same words, a line each."""
     if not GRAM <= width <= 63 - GRAM + 1:
         raise ValueError(f"width must be {GRAM} to {63 - GRAM + 1}")
     reps = _bucketed(signed(docs.select("text"), True).groupBy(*KEY).agg(F.first("n_words").alias("n_words"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")))
     long_reps = reps.where(F.col("n_words") >= width)
     places = written(_anchors(long_reps, width), "anchors")
+    # Written, the repeated anchors have a shuffle of their own in the join, so a crowded anchor's places can be split there.
     again = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", (F.col("n") > HOT).alias("hot"))
+    again = written(again, "repeated")
     listed = places.join(again, "anchor").groupBy(*KEY).agg(F.collect_list(F.struct("place", "hot")).alias("places"))
     segments = written(_segments(long_reps.join(listed, KEY).select(*KEY, "text", "places"), width), "segments")
     distinct = segments.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("weight"), F.first("segment").alias("segment"))
