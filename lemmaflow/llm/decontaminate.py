@@ -22,7 +22,7 @@ lies whole in a passage. The steps:
 The benchmark is a stated query set, taken in blocks of at most ``BLOCK_ITEMS``
 items; only one block's words are sent to the tasks at a time.
 
-Edge cases: null and empty texts and items match nothing; equal items each match;
+Edge cases: null and empty texts, and items of fewer than ``LEAST_WORDS`` different words, match nothing; equal items each match;
 rows with one doc_id give one result per item, those with a null doc_id too, under
 null; an empty table gives no matches; extra columns are not read.
 """
@@ -43,6 +43,8 @@ from .store import written
 from .text import Block, as_strings, blocks
 
 PIECE, RARE, STOP, TELLING = 48, 200, 20, 0.4
+#: An item of fewer different words can't be told from chance and matches nothing.
+LEAST_WORDS = 3
 LCS, LCS_LOOSE, ANSWER = 0.6, 0.45, 0.8
 RANK, EXTRA, COSINE = 128, 16, 0.3
 BLOCK_ITEMS = 20_000
@@ -84,7 +86,7 @@ def cut(items: list[tuple[int, str]]) -> Pieces:
     ids, hashed, answers = [], [], []
     for item, text in items:
         words = word_hashes(text)
-        if not len(words):
+        if len(np.unique(words)) < LEAST_WORDS:
             continue
         sentences = [s for s in re.split(r"(?<=[.?!])\s+|\n", text) if len(word_hashes(s))]
         last = word_hashes(sentences[-1])

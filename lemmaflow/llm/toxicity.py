@@ -238,7 +238,8 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", may_learn:
     model = Convolutional(seed)
     y_all = np.array([r[3] for r in rows], np.float64)
     if not len(y_all) or y_all.min() == y_all.max():
-        model.shift[:] = float(np.log(threshold / (1 - threshold))) if len(y_all) and y_all[0] else -20.0
+        model.out[:] = 0
+        model.shift[:] = 20.0 if len(y_all) and y_all[0] else -20.0
         return model
     held = np.array([zlib.crc32(f"c{r[1]}".encode()) % 5 == 0 for r in rows])
 
