@@ -118,3 +118,14 @@ def repo_summary(assistant: DataFrame, root: DataFrame, commits: DataFrame, n_me
     folders = excluded_folders(root).agg(F.array_sort(F.collect_list("name")).alias("exclude_paths")).withColumn("_k", row)
     recent = commits.where(F.trim("message_subject") != "").orderBy("_pos").limit(n_messages).agg(F.count(F.lit(1)).alias("n_sampled")).withColumn("_k", row)
     return assistant.select("assistant").withColumn("_k", row).join(tools, "_k").join(folders, "_k").join(recent, "_k").drop("_k")
+
+
+def write_transcripts(transcripts: DataFrame, path: str) -> None:
+    """Transcripts by slot, one folder each."""
+    transcripts.write.mode("append").partitionBy("slot").json(path, ignoreNullFields=False)
+
+
+def remote_url(config: DataFrame) -> DataFrame:
+    """The URL of the origin in a repository's configuration, given as one text."""
+    url = F.regexp_extract("value", r'(?s)\[remote "origin"\].*?url\s*=\s*(\S+)', 1)
+    return config.select(F.when(url != "", url).otherwise("").alias("url"))

@@ -12,6 +12,7 @@ from ..functions import commits as C
 from ..functions import proofs as P
 from ..functions import prompts
 from ..functions import texts as X
+from ..functions.diffs import unified_diff
 from ..operators import datasets as D
 from ..operators import evaluation as E
 from ..operators import explore as Q
@@ -375,6 +376,14 @@ def challenge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupingSets([["lang"], ["source"], []], "lang", "source").agg(F.count(F.lit(1)).alias("n_challenges"), F.sum("h").alias("n_holes"))
 
 
+@query()
+def diff_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unified diffs of pairs of texts."""
+    d = V.table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", F.col("text").alias("a"))
+    b = V.table(spark, sf_dir, "documents").where("doc_id % 2 = 1").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("b"))
+    return d.join(b, "doc_id").select("doc_id", unified_diff("a", "b", F.lit("text")).alias("diff"))
+
+
 # --- proofs ---
 _PROOF = "Lemma a%1$d : x.\nProof.\n  intros. (* c. (* d. *) e. *)\n  induction n; { auto. }\n  rewrite (f \"q. r\").\n  lia. congruence.\nQed.\n\nLemma b : y.\nProof.\n  Admitted.\n"
 

@@ -150,3 +150,38 @@ def test_percentiles(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "n_commits_with_hole int")
     got = {r["point"]: r["value"] for r in L.percentiles(df).collect()}
     assert got == {p: sorted(values)[min(int(p / 100 * len(values)), len(values) - 1)] for p in (25, 50, 75, 90, 95, 99) if values}
+
+
+def test_repository_to_challenges(spark, tmp_path):
+    """Three commits: a hole, its filling, another file with holes."""
+    import os
+    import subprocess
+
+    from lemmaflow.plans import commands
+    from lemmaflow.sources import git
+
+    repo = tmp_path / "repo"
+    repo.mkdir()
+    env = os.environ | {"GIT_AUTHOR_NAME": "a", "GIT_AUTHOR_EMAIL": "a@x", "GIT_COMMITTER_NAME": "a", "GIT_COMMITTER_EMAIL": "a@x"}
+    run = lambda *a: subprocess.run(["git", "-C", str(repo), *a], check=True, env=env, capture_output=True)
+    run("init", "-q")
+    for name, text, message in (("proof.v", "Lemma a : x.\nProof.\nAdmitted.\n", "first"), ("proof.v", "Lemma a : x.\nProof.\nauto.\nQed.\n", "fill"), ("helpers.v", "Lemma b : y. admit.\nAdmitted.\n", "more")):
+        (repo / name).write_text(text)
+        run("add", ".")
+        run("commit", "-qm", message)
+    commits = G.decoded(git.read_repository(spark, str(repo))).cache()
+    assert [r["message_subject"] for r in commits.collect()] == ["more", "fill", "first"]
+    pairs = commits.where("size(parent_hashes) > 0").select("hash", F.col("parent_hashes")[0].alias("parent_hash"), "message_subject", F.explode("coq_files_changed").alias("path"))
+    after = git.contents(pairs.select(F.col("hash").alias("commit_hash"), "path"), str(repo)).withColumnsRenamed({"commit_hash": "hash", "content": "after"})
+    before = git.contents(pairs.select(F.col("parent_hash").alias("commit_hash"), "path"), str(repo)).withColumnsRenamed({"commit_hash": "parent_hash", "content": "before"})
+    changes = pairs.join(after, ["hash", "path"]).join(before, ["parent_hash", "path"]).select(F.col("hash").alias("commit_hash"), "parent_hash", F.col("message_subject").alias("commit_message"), "path", F.when(F.col("before").isNull(), "A").otherwise("M").alias("status"), "before", "after")
+    (c,) = commands.mine(changes, "demo").collect()
+    assert c["file_path"] == "proof.v" and c["holes_filled"][0]["enclosing_decl"] == "a" and c["diff"].startswith("--- a/proof.v")
+    assert c["instructions"] == "Fill in the proof(s) marked with placeholder tactics (admitted in a) in proof.v."
+    total = [r for r in commands.stats(commands.mine(changes, "demo")).collect() if r["repo"] is None and r["proof_assistant"] is None]
+    assert total[0]["n_challenges"] == 1 and total[0]["n_holes"] == 1
+
+
+def test_remote_url(spark):
+    df = spark.createDataFrame([('[core]\n[remote "origin"]\n\turl = git@host:x.git\n',), ("[core]",)], "value string")
+    assert [r["url"] for r in D.remote_url(df).collect()] == ["git@host:x.git", ""]
