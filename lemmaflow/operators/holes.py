@@ -32,17 +32,32 @@ def with_context(lines: DataFrame, keys: list[str], before: int = 3, after: int
 
 
 def found_holes(files: DataFrame, keys: list[str], markers: list[str] | tuple[str, ...], declaration: str, content: str = "content") -> DataFrame:
-    """Every hole of files: keys, line, column (0-based), kind, context and enclosing_decl. Windows stay within one file."""
-    lines = with_context(with_enclosing(lines_of(files, keys, content), keys, declaration), keys)
-
-    def places(marker: str) -> F.Column:
-        steps = F.transform(F.regexp_extract_all("text", F.lit(rf"(?U)(.*?)\b{marker}\b"), F.lit(1)), F.length)
-        # A match begins after all text before it and the markers between.
-        begun = F.transform(steps, lambda _, i: F.aggregate(F.slice(steps, F.lit(1), i + 1), F.lit(0), lambda s, x: s + x) + i * len(marker))
-        return F.transform(begun, lambda c: F.struct(c.alias("column"), F.lit(marker.lower()).alias("kind")))
-
-    hits = F.concat(*[places(m) for m in markers])
-    return lines.select(*keys, "line", F.explode(hits).alias("h"), "context", "enclosing_decl").select(*keys, "line", "h.column", "h.kind", "context", "enclosing_decl")
+    """Every hole of files: keys, line, column (0-based), kind, context and enclosing_decl.
+
+    A file is one row, so all of it is array work within the row: no line is shuffled, and context and
+    declaration are made for lines with holes alone."""
+    cut = F.split(F.regexp_replace(F.col(content), rf"(?:{_BREAKS})\z", ""), _BREAKS)
+    name = vocab.java(declaration)
+    any_marker = rf"(?U)\b(?:{'|'.join(markers)})\b"
+
+    def places(text: F.Column, marker: str) -> F.Column:
+        # One pass over the texts before each match; a match begins after all of them and the markers between.
+        before = F.regexp_extract_all(text, F.lit(rf"(?U)(.*?)\b{marker}\b"), F.lit(1))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("columns"))
+        step = lambda s, t: F.struct((s["at"] + F.length(t) + len(marker)).alias("at"), F.concat(s["columns"], F.array(s["at"] + F.length(t))).alias("columns"))
+        return F.transform(F.aggregate(before, start, step, lambda s: s["columns"]), lambda c: F.struct(c.alias("column"), F.lit(marker.lower()).alias("kind")))
+
+    def of_line(text: F.Column, i: F.Column) -> F.Column:
+        first = F.greatest(i - 2, F.lit(1))
+        around = F.array_join(F.slice(F.col("_lines"), first, i + 5 - first), "\n")
+        above = F.filter(F.slice(F.col("_names"), F.lit(1), i + 1), lambda d: d != "")
+        return F.struct((i + 1).alias("line"), F.concat(*[places(text, m) for m in markers]).alias("hits"), around.alias("context"), F.coalesce(F.try_element_at(above, F.lit(-1)), F.lit("")).alias("enclosing_decl"))
+
+    staged = files.where(F.coalesce(content, F.lit("")) != "").select(*keys, cut.alias("_lines"))
+    staged = staged.withColumn("_names", F.transform("_lines", lambda x: F.regexp_extract(x, name, 1)))
+    marked = F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(any_marker), of_line(x, i))), lambda x: x.isNotNull())
+    rows = staged.select(*keys, F.explode(marked).alias("l"))
+    return rows.select(*keys, "l.line", F.explode("l.hits").alias("h"), "l.context", "l.enclosing_decl").select(*keys, "line", "h.column", "h.kind", "context", "enclosing_decl")
 
 
 def filled_holes(parent: DataFrame, child: DataFrame, keys: list[str]) -> DataFrame:
