@@ -12,6 +12,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Bytes of an Arrow batch of texts; tasks hold a few of them on either side.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps the session's Arrow batches to ``BATCH_BYTES``, so that a task's memory follows that and its longest text."""
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +46,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends here, and a
     lost executor costs no recomputation of what came before."""
+    small_batches(df.sparkSession)
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -31,6 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches
+
 SUPPORT = 0.3
 #: Share of a level's text that a slot must hold to be descended into.
 MOST = 0.7
@@ -114,7 +116,13 @@ def parsed(page: str) -> tuple[list[Region], list[Piece]]:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        if tag in _VOID or m[3].endswith("/") or tag not in _FRAME:
+        if tag in _VOID or m[3].endswith("/"):
+            continue
+        if stack[-1][0] == "p" and tag not in _INLINE:  # a paragraph ends where the next block begins
+            stack.pop()
+        names = [x.lower() for _, *v in _NAME.findall(m[3]) for x in v if x] if m[3] and not m[1] else []
+        words = {w for x in names for w in _SPLIT.split(x)}
+        if tag not in _FRAME and not words & _NAMES and (not m[1] or all(t != tag for t, _ in stack)):
             continue
         if tag in ("nav", "footer", "aside", "article", "body"):
             links = 0
@@ -124,11 +132,9 @@ def parsed(page: str) -> tuple[list[Region], list[Piece]]:
                     del stack[depth:]
                     break
             continue
-        names = [x.lower() for _, *v in _NAME.findall(m[3]) for x in v if x]
-        words = {w for x in names for w in _SPLIT.split(x)}
         up = regions[stack[-1][1]]
         main = tag in ("article", "main") or bool(words & _MAIN) and tag in ("div", "section", "td")
-        off = up.dropped or tag in _DROP or tag == "header" and not up.main or tag != "body" and tag != "html" and bool(words & _NAMES) and not (main and tag in ("article", "main"))
+        off = up.dropped or tag in _DROP or not up.main and (tag == "header" or "header" in words) or tag != "body" and tag != "html" and bool(words & _NAMES) and not (main and tag in ("article", "main"))
         regions.append(Region(f"{up.chain}/{tag}{'.' + '.'.join(sorted(words - {''})) if words else ''}", stack[-1][1], tag, off, main or up.main))
         stack.append((tag, len(regions) - 1))
     return regions, pieces
@@ -225,6 +231,7 @@ def templates(pages: DataFrame) -> DataFrame:
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
+    small_batches(pages.sparkSession)
     hosted = pages.select("page_id", "url", "html", host_of("url").alias("host"))
     joined = hosted.join(templates(hosted), "host", "left").select("page_id", "url", "html", "host", "slots")
 

@@ -155,6 +155,22 @@ def test_templates(spark, open_, close):
     assert template.extracted(df).count() == len(rows) and template.extracted(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>a<p class='ad'>buy<p>b <span class=share>tweet</span> c</article>", "a\nb c"),
+        ("<main><header><h1>T</h1></header><p>x &nosuch; &#233;</p><div id='comments'><article>no</article></div></main>", "T\nx &nosuch; é"),
+        ("<div id=header>Site</div><div class=content>one<ul><li>two<li>three</ul></div>", "one\ntwo\nthree"),
+        ("<body><p>cut off <b>here", "cut off here"),
+        ("<article><script>if (a < b) { '</p>' }</script>x<style>y</style><!-- z --></article>", "x"),
+        ("<article>a<br>b</article><footer>c</footer>", "a b"),
+        ("no markup < at 3 > all", "no markup < at 3 > all"),
+    ],
+)
+def test_single_pages(page, text):
+    assert template.main_text(page, None) == text
+
+
 def test_copied_articles_stay_whole(spark):
     rows = [(i, "http://one.example/", PAGE.format(menu="m", ad="a", title="Same title", open="<article>", close="</article>")) for i in range(10)]
     texts = {r["text"] for r in template.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
