@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .ranks import most_frequent
 from .store import written
 from .text import Block, blocks, mix, window_hash
 
@@ -80,9 +81,9 @@ def crowded(docs: DataFrame, k: int, num: int, den: int) -> np.ndarray:
                 keys, counts = np.unique(np.concatenate(low), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "c": pa.array(counts)})
 
-    counted = docs.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") > CROWD)
-    found = [r[0] for r in counted.orderBy(F.desc("c"), "key").limit(MOST_CROWDED).select("key").toLocalIterator()]
-    return np.sort(np.array(found, np.int64).view(np.uint64))
+    counted = written(docs.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") > CROWD), "crowded")
+    found = most_frequent(counted, MOST_CROWDED).select("key").toArrow().column("key").to_numpy()
+    return np.sort(found.view(np.uint64))
 
 
 def _first(s: np.ndarray, last: np.ndarray, p: int) -> np.ndarray:

@@ -1,4 +1,4 @@
-"""Exact ranks over rows without one task that sorts them all."""
+"""Exact ranks and most frequent keys without one task that sorts them all."""
 
 from __future__ import annotations
 
@@ -27,3 +27,15 @@ def with_rank(df: DataFrame, keys: list[str], bucket: str, order: list[Column],
     joined = df.join(before.drop("_n"), [*keys, bucket])
     place = F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order))
     return joined.withColumn(name, F.col("_before") + place).drop("_before")
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of ``counts`` (with a column c) down to a count that at most ``most`` rows reach, found from counts of counts."""
+    level = F.floor(F.log2("c") * 16)
+    left, least = most, None
+    for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():  # under 1,100 levels
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["level"]
+    return counts.where(F.lit(False) if least is None else level >= least)
