@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import groups_for, with_rank
-from .store import written
+from .store import small_batches, written
+from .text import give_back
 
 
 @lru_cache(maxsize=4)
@@ -55,6 +56,7 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, room: int, separator:
                 while lo < len(ids):
                     at.append(i), piece.append(k), start.append(lo), length.append(hi - lo), crc.append(zlib.crc32(ids[lo:hi].tobytes()))
                     lo, hi, k = hi, hi + room, k + 1
+            give_back()
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id").cast(pa.int64()).take(pa.array(at, pa.int64())),
@@ -157,4 +159,5 @@ def packed(made: DataFrame, room: int) -> DataFrame:
 
 def best_fit_packing(docs: DataFrame, vocabulary: str, pattern: str, room: int = 2048, separator: int = 0) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset."""
+    small_batches(docs.sparkSession)
     return packed(written(pieces(docs, vocabulary, pattern, room, separator), "pieces"), room)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import written
+from .store import small_batches, written
 from .text import Block, blocks, duplicated, mix
 
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -123,6 +123,7 @@ def quality_rules(docs: DataFrame, host: str = "source", host_limit: float = 0.5
 
     Without the text, the counts are written once and read for both the host
     rates and the rows. With it they are made twice, for texts are not written."""
+    small_batches(docs.sparkSession)
     light = measured(docs.select(host, "text"), keep_text=False) if keep_text else written(measured(docs, keep_text=False), "counts")
     hosts = host_verdicts(light, host, host_limit)
     return with_verdicts(measured(docs) if keep_text else light, hosts, host)

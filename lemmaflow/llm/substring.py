@@ -37,12 +37,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .fmindex import FMIndex
-from .store import fresh_path, written
+from .store import fresh_path, small_batches, written
 from .text import Block, blocks, duplicated, mix, window_hash
 
 GRAM = 8
 HOT = 50_000
-SHARD_WORDS = 500_000
+SHARD_WORDS = 200_000
 KEY = ["s1", "s2"]
 
 
@@ -274,7 +274,9 @@ def _bucketed(df: DataFrame) -> DataFrame:
     name = f"lemmaflow_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").bucketBy(buckets, *KEY).option("path", fresh_path(spark, "reps")).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name goes, the external files and the resolved plan stay
+    return table
 
 
 def repeated_removed(docs: DataFrame, width: int = 50, keep_text: bool = True) -> DataFrame:
@@ -282,6 +284,7 @@ def repeated_removed(docs: DataFrame, width: int = 50, keep_text: bool = True) -
     asked for, kept_text: the runs of kept words as they stand in the text, or in one with the same words, a line each."""
     if not GRAM <= width <= 63 - GRAM + 1:
         raise ValueError(f"width must be {GRAM} to {63 - GRAM + 1}")
+    small_batches(docs.sparkSession)
     reps = _bucketed(signed(docs.select("text"), True).groupBy(*KEY).agg(F.first("n_words").alias("n_words"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")))
     long_reps = reps.where(F.col("n_words") >= width)
     places = written(_anchors(long_reps, width), "anchors")

@@ -12,6 +12,7 @@ probability about 2**-64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -144,6 +145,16 @@ def window_hash(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, so that reused workers don't keep what their largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def as_strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -165,6 +176,7 @@ def blocks(column: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int =
         part = data[offsets[lo] : offsets[hi]]
         yield Block(lo, hi, _LOWER[part] if lower else part, offsets[lo : hi + 1] - offsets[lo])
         lo = hi
+    give_back()
 
 
 def duplicated(keys: np.ndarray) -> np.ndarray:

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches
 from .text import Block, blocks
 
 ROWS, DIM, WIDTHS, FILTERS, TOP = 1 << 17, 12, (1, 2, 3), 12, 3
@@ -264,6 +265,7 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", may_learn:
 def scored(docs: DataFrame, model: Convolutional, threshold: float = 0.7) -> DataFrame:
     """doc_id, score and predicted of every whole text."""
 
+    small_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [model.scores(features(b)) for b in blocks(batch.column("text"), lower=True, limit=1 << 18)]

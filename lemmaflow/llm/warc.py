@@ -35,7 +35,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import fresh_path, written
+from .store import fresh_path, small_batches, written
 
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 16
@@ -82,6 +82,7 @@ def marked(pages: DataFrame, least: int = 0) -> DataFrame:
 
 def write_archives(pages: DataFrame, least: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes all pages; the manifest: path and size of each archive."""
+    small_batches(pages.sparkSession)
     folder = fresh_path(pages.sparkSession, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
