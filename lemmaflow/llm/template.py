@@ -1,16 +1,17 @@
 """Main text of web pages by deduced templates.
 
-A token is an element with its chain of containers (tag and class). Tokens whose
-occurrence vectors over a host's pages are equal form an equivalence class; a
-vector is summed as a hash of page and count, so classes come from one
-aggregation by host and token, however many pages a host has. A class is valid
-if it is large and frequent: its tokens stand on at least ``SUPPORT`` of the
-host's pages. Chains nest, so valid classes nest into a template; what their
-elements enclose are the slots. Each slot knows its share of the host's text and
-of link text. The slot that holds the article is the deepest one that holds most
-of the text which is not in menus, notices and the like; all of its blocks are
-extracted, without nested boilerplate, and nothing is judged by its wording, so
-copied articles stay whole. A page without the template's slot is judged alone.
+A token is a container with its chain of containers (tag and class); with the
+words it encloses it is a second token. Both are counted by pages of a host in one
+aggregation, however many pages a host has. Chains on at least ``SUPPORT`` of a
+host's pages are its layout: each knows its share of the host's text and of link
+text. The slot that holds the article is the deepest one that holds most of the text
+which is not in menus, notices and the like; those are known by fixed lists of tags
+and names. Inside the slot, containers that have the same words on ``NEARLY`` all
+pages are the host's template too, whatever their names: what stands around them is
+extracted. A host whose slot itself has the same words on nearly all pages holds
+copies of one article, and hosts of under ``LEAST`` pages show too little: nothing
+of theirs is dropped as repeated. Single words and paragraphs are never dropped for
+being repeated, containers only. A page without the template's slot is judged alone.
 
 Edge cases: null or empty html gives an empty text; unclosed and stray tags,
 comments, and tag-like strings in scripts do no harm; a null or odd url falls to
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from .store import small_batches
 
 SUPPORT = 0.3
+#: Share of a host's pages that have a container with the same words if it is template, and the least pages that show it.
+NEARLY, LEAST = 0.9, 4
 #: Share of a level's text that a slot must hold to be descended into.
 MOST = 0.7
 
@@ -178,15 +181,38 @@ def article_slot(slots: dict[str, tuple[int, int, bool]]) -> str:
         here = best[1]
 
 
-def main_text(page: str | None, slot: str | None) -> str:
-    """The blocks of a page's slot; with no such slot in the page, of the page's own."""
+def digests(regions: list[Region], pieces: list[Piece]) -> list[int | None]:
+    """By region: a hash of the words it encloses, whatever the space between them; none without words or in boilerplate."""
+    raw = [" ".join(p.text.split()).encode("utf-8", "replace") for p in pieces]
+    data = b" ".join(x for x in raw if x)
+    # Regions are listed as they open, so what one encloses is one span of the pieces.
+    first, last = [-1] * len(regions), [-1] * len(regions)
+    at = 0
+    for p, x in zip(pieces, raw, strict=True):
+        if x:
+            if first[p.region] < 0:
+                first[p.region] = at
+            last[p.region] = at + len(x)
+            at += len(x) + 1
+    for i in range(len(regions) - 1, 0, -1):
+        up = regions[i].parent
+        if last[i] >= 0:
+            first[up] = first[i] if first[up] < 0 else min(first[up], first[i])
+            last[up] = max(last[up], last[i])
+    return [None if r.dropped or hi < 0 else xxhash.xxh64_intdigest(data[lo:hi]) >> 1 for r, lo, hi in zip(regions, first, last, strict=True)]
+
+
+def main_text(page: str | None, slot: str | None, repeated: frozenset[tuple[str, int]] = frozenset()) -> str:
+    """The blocks of a page's slot around the repeated containers; with no such slot in the page, of the page's own."""
     regions, pieces = parsed(page or "")
     own = masses(regions)
     if slot is None or slot not in own:
         slot = article_slot({c: v[1:] for c, v in own.items()})
+    words = digests(regions, pieces) if repeated else [None] * len(regions)
     inside = [False] * len(regions)
     for i, r in enumerate(regions):
-        inside[i] = not r.dropped and (r.chain == slot or r.parent >= 0 and inside[r.parent])
+        within = r.parent >= 0 and inside[r.parent]
+        inside[i] = not r.dropped and (within and (r.chain, words[i]) not in repeated or not within and r.chain == slot)
     blocks: dict[int, list[str]] = defaultdict(list)
     for p in pieces:
         if inside[p.region]:
@@ -200,33 +226,43 @@ def host_of(column: str) -> F.Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Per host: the tokens of its valid classes, as a list of slots."""
+    """Per host: its frequent chains, as a list of slots, and among them (with a digest) the containers of the same words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, str], list[int]] = {}
+            sums: dict[tuple[str, str, int | None], list[int]] = {}
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                page = page or ""
-                seed = xxhash.xxh64_intdigest(page.encode("utf-8", "replace"))
-                for chain, (count, text, link, main) in masses(parsed(page)[0]).items():
-                    got = sums.setdefault((host, chain), [0, 0, 0, 0, 0])
+                regions, pieces = parsed(page or "")
+                for chain, (_, text, link, main) in masses(regions).items():
+                    got = sums.setdefault((host, chain, None), [0, 0, 0, 0])
                     got[0] += 1
-                    got[1] += xxhash.xxh64_intdigest(count.to_bytes(8, "little"), seed) >> 16
-                    got[2] += text
-                    got[3] += link
-                    got[4] |= main
-            cols = list(zip(*((h, c, *v) for (h, c), v in sums.items()), strict=True)) or [()] * 7
+                    got[1] += text
+                    got[2] += link
+                    got[3] |= main
+                for chain, words in {(r.chain, x) for r, x in zip(regions, digests(regions, pieces), strict=True) if x is not None}:
+                    sums.setdefault((host, chain, words), [0, 0, 0, 0])[0] += 1
+            cols = list(zip(*((*k, *v) for k, v in sums.items()), strict=True)) or [()] * 7
             kinds = (pa.string(), pa.string(), *[pa.int64()] * 5)
-            names = ("host", "chain", "n_pages", "vector", "text", "link", "main")
+            names = ("host", "chain", "digest", "n_pages", "text", "link", "main")
             yield pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=True)})
 
-    seen = pages.select("host", "html").mapInArrow(run, "host string, chain string, n_pages long, vector long, text long, link long, main long")
-    # Sums of 48-bit hashes stay exact up to 2**15 pages a task and wrap as decimals never do beyond.
-    tokens = seen.groupBy("host", "chain").agg(F.sum("n_pages").alias("n_pages"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.sum("text").alias("text"), F.sum("link").alias("link"), F.max("main").alias("main"))
-    of_host = tokens.where("chain = ''").select("host", F.col("n_pages").alias("of"))
-    frequent = tokens.join(of_host, "host").where(F.col("n_pages") >= SUPPORT * F.col("of"))
-    classes = frequent.groupBy("host", "vector", "n_pages").agg(F.collect_list(F.struct("chain", "text", "link", (F.col("main") > 0).alias("main"))).alias("tokens"))
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("slots"))
+    seen = pages.select("host", "html").mapInArrow(run, "host string, chain string, digest long, n_pages long, text long, link long, main long")
+    tokens = seen.groupBy("host", "chain", "digest").agg(F.sum("n_pages").alias("n_pages"), F.sum("text").alias("text"), F.sum("link").alias("link"), F.max("main").alias("main"))
+    # Containers on too few pages for any host go before the join, and so nearly all.
+    some = tokens.where(F.col("digest").isNull() | (F.col("n_pages") >= NEARLY * LEAST))
+    of_host = pages.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+    least = F.when(F.col("digest").isNull(), SUPPORT * F.col("of")).otherwise(NEARLY * F.greatest("of", F.lit(LEAST)))
+    frequent = some.join(of_host, "host").where(F.col("n_pages") >= least)
+    return frequent.groupBy("host").agg(F.collect_list(F.struct("chain", "digest", "text", "link", (F.col("main") > 0).alias("main"))).alias("slots"))
+
+
+def template_of(listed: list[dict] | None) -> tuple[str | None, frozenset[tuple[str, int]]]:
+    """The slot of a host and the repeated containers to leave out inside it."""
+    if not listed:
+        return None, frozenset()
+    slot = article_slot({s["chain"]: (s["text"], s["link"], s["main"]) for s in listed if s["digest"] is None})
+    repeated = frozenset((s["chain"], s["digest"]) for s in listed if s["digest"] is not None)
+    return slot, frozenset() if any(c == slot for c, _ in repeated) else repeated
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -236,7 +272,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     joined = hosted.join(templates(hosted), "host", "left").select("page_id", "url", "html", "host", "slots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, str | None] = {}
+        known: dict[str, tuple[str | None, frozenset[tuple[str, int]]]] = {}
         for batch in batches:
             texts = []
             slots = batch.column("slots")
@@ -244,9 +280,8 @@ def extracted(pages: DataFrame) -> DataFrame:
                 if host not in known:
                     if len(known) > 10_000:
                         known.clear()
-                    listed = slots[i].as_py()
-                    known[host] = article_slot({s["chain"]: (s["text"], s["link"], s["main"]) for s in listed}) if listed else None
-                texts.append(main_text(page, known[host]))
+                    known[host] = template_of(slots[i].as_py())
+                texts.append(main_text(page, *known[host]))
             yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id").cast(pa.int64()), "url": batch.column("url").cast(pa.string()), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

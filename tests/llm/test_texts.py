@@ -177,6 +177,17 @@ def test_copied_articles_stay_whole(spark):
     assert texts == {"Same title\nOne & Same title two bold text\nThree <x>"}
 
 
+def test_repeated_blocks_go(spark):
+    block = "<div class='x3'><div>Read  all our {}</div> words</div>"
+    rows = [(i, "http://r.example/", f"<article><h1>T{i}</h1>{block.format('old')}<p>same<div class=x3>own {i}</div></article>") for i in range(10)]
+    rows += [(20, "http://r.example/", f"<article>other{block.format('new')}</article>"), (21, "http://s.example/", f"<article>a{block.format('old')}</article>")]
+    rows += [(30 + i, "http://copies.example/", f"<div>{i}</div><article>a<div class='x3'>b</div></article>") for i in range(10)]
+    got = {r["page_id"]: r["text"] for r in template.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"T{i}\nsame\nown {i}" for i in range(10))
+    assert got[20] == "other\nRead all our new\nwords" and got[21] == "a\nRead all our old\nwords"
+    assert {got[30 + i] for i in range(10)} == {"a\nb"}
+
+
 VOCABULARY = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
