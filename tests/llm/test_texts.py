@@ -208,6 +208,16 @@ def test_language_model(spark, monkeypatch, head):
     assert language_model.scored(df.limit(0), *VOCABULARY, F.lit(False)).collect() == []
 
 
+def test_scores_use_all_counts(spark, monkeypatch):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, " ".join(invented(rng, 40))) for i in range(80)] + [(90, "of of lone " + "x" * 3000), (91, None)], "doc_id long, text string")
+    got = []
+    for head in (1 << 19, 5, 0):
+        monkeypatch.setattr(language_model, "HEAD", head)
+        got.append({r["doc_id"]: r["score"] for r in language_model.scored(df, *VOCABULARY, toxicity.crc_remainder("doc_id", 7) == 2).collect()})
+    assert all(np.allclose([g[d] for d in got[0]], list(got[0].values()), rtol=1e-9) for g in got[1:])
+
+
 def test_attention_is_causal_and_sums_to_one():
     rng = np.random.default_rng(2)
     n = 60
