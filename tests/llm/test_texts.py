@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lemmaflow.llm import decontaminate, language_model, quality, template, toxicity, warc
-from lemmaflow.llm.attention import Attention
+from lemmaflow.llm.attention import Attention, subwords
 from lemmaflow.llm.text import blocks
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -218,6 +218,18 @@ def test_scores_use_all_counts(spark, monkeypatch):
     assert all(np.allclose([g[d] for d in got[0]], list(got[0].values()), rtol=1e-9) for g in got[1:])
 
 
+def test_every_document_trains(spark):
+    signs = list("!#$%&()*+,-./:;<=>?@[]^_{|}~")
+    rows = [(f"a b {i % 50}", True) for i in range(16_000)] + [(f"{x} {x}", True) for x in signs for _ in range(30)] + [("` `", False)] * 30
+    docs = spark.createDataFrame(rows, "text string, learns boolean").repartition(4)
+    model = Attention.from_counts(np.random.default_rng(4).integers(0, 5, (1025, 1025)).astype(float))
+    before = model.weights["state"].copy()
+    moved = np.abs(language_model.trained(docs, model, *VOCABULARY, 1024).weights["state"] - before).max(axis=1) > 1e-6
+    code = subwords(*VOCABULARY, 1024)
+    used = lambda x: moved[code.encode_ordinary(" " + x)]
+    assert all(used(x).all() for x in signs) and not used("`").all()
+
+
 def test_attention_is_causal_and_sums_to_one():
     rng = np.random.default_rng(2)
     n = 60
