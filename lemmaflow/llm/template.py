@@ -4,7 +4,7 @@ A token is a container with its chain of containers (tag and class); with the
 words it encloses it is a second token. Both are counted by pages of a host in one
 aggregation, however many pages a host has. Chains on at least ``SUPPORT`` of a
 host's pages are its layout: each knows its share of the host's text and of link
-text. The slot that holds the article is the deepest one that holds most of the text
+text. The slots that hold the article are all outermost ones named main, else the deepest with most of the text
 which is not in menus, notices and the like; those are known by fixed lists of tags
 and names. Inside the slot, containers that have the same words on ``NEARLY`` all
 pages are the host's template too, whatever their names: what stands around them is
@@ -84,6 +84,7 @@ def parsed(page: str) -> tuple[list[Region], list[Piece]]:
     """Containers and text runs of a page, in page order."""
     regions = [Region("", -1, "", False, False)]
     pieces: list[Piece] = []
+    own_off, by_name = [False], [False]
     stack: list[tuple[str, int]] = [("", 0)]
     links = block = at = 0
     n = len(page)
@@ -125,6 +126,7 @@ def parsed(page: str) -> tuple[list[Region], list[Piece]]:
             stack.pop()
         names = [x.lower() for _, *v in _NAME.findall(m[3]) for x in v if x] if m[3] and not m[1] else []
         words = {w for x in names for w in _SPLIT.split(x)}
+        whole = {w for x in names for w in x.split()}
         if tag not in _FRAME and not words & _NAMES and (not m[1] or all(t != tag for t, _ in stack)):
             continue
         if tag in ("nav", "footer", "aside", "article", "body"):
@@ -137,9 +139,19 @@ def parsed(page: str) -> tuple[list[Region], list[Piece]]:
             continue
         up = regions[stack[-1][1]]
         main = tag in ("article", "main") or bool(words & _MAIN) and tag in ("div", "section", "td")
-        off = up.dropped or tag in _DROP or not up.main and (tag == "header" or "header" in words) or tag != "body" and tag != "html" and bool(words & _NAMES) and not (main and tag in ("article", "main"))
-        regions.append(Region(f"{up.chain}/{tag}{'.' + '.'.join(sorted(words - {''})) if words else ''}", stack[-1][1], tag, off, main or up.main))
+        off = tag in _DROP or not up.main and (tag == "header" or "header" in words)
+        named = not off and tag not in ("body", "html") and bool(words & _NAMES) and not (main and (tag in ("article", "main") or whole & _MAIN))
+        by_name.append(named)
+        own_off.append(off or named)
+        regions.append(Region(f"{up.chain}/{tag}{'.' + '.'.join(sorted(words - {''})) if words else ''}", stack[-1][1], tag, up.dropped or own_off[-1], main or up.main))
         stack.append((tag, len(regions) - 1))
+    if any(by_name) and not any(r.main and r.text and not r.dropped for r in regions):
+        # No text named main is left: containers with most of the page's words are not dropped for their names.
+        held = [r.text - r.link for r in regions]
+        for i in range(len(regions) - 1, 0, -1):
+            held[regions[i].parent] += held[i]
+        for i, r in enumerate(regions[1:], 1):
+            r.dropped = regions[r.parent].dropped or own_off[i] and not (by_name[i] and held[i] > MOST * held[0])
     return regions, pieces
 
 
@@ -165,11 +177,17 @@ def masses(regions: list[Region]) -> dict[str, tuple[int, int, int, bool]]:
     return {k: tuple(v) for k, v in out.items()}
 
 
-def article_slot(slots: dict[str, tuple[int, int, bool]]) -> str:
-    """The chain of the deepest slot with most of the text; slots: text, link text and main by chain."""
-    named = [(t - k, c) for c, (t, k, main) in slots.items() if main and t]
+def main_slots(slots: dict[str, tuple[int, int, bool]]) -> frozenset[str]:
+    """The chains of all outermost slots named main, without those of mostly link text if there are others."""
+    named = {c: 2 * k <= t for c, (t, k, main) in slots.items() if main and t}
+    return frozenset(c for c, words in named.items() if words or not any(named.values()))
+
+
+def article_slot(slots: dict[str, tuple[int, int, bool]]) -> frozenset[str]:
+    """The slots named main; with none, the deepest one with most of the text. slots: text, link text and main by chain."""
+    named = main_slots(slots)
     if named:
-        return max(named, key=lambda x: (x[0], x[1]))[1]
+        return named
     here = ""
     while True:
         depth = here.count("/") + 1
@@ -177,7 +195,7 @@ def article_slot(slots: dict[str, tuple[int, int, bool]]) -> str:
         best = max(inner, default=(0, ""), key=lambda x: (x[0], x[1]))
         total = slots.get(here, (0, 0, False))
         if not best[0] or best[0] < MOST * (total[0] - total[1]):
-            return here
+            return frozenset([here])
         here = best[1]
 
 
@@ -202,17 +220,20 @@ def digests(regions: list[Region], pieces: list[Piece]) -> list[int | None]:
     return [None if r.dropped or hi < 0 else xxhash.xxh64_intdigest(data[lo:hi]) >> 1 for r, lo, hi in zip(regions, first, last, strict=True)]
 
 
-def main_text(page: str | None, slot: str | None, repeated: frozenset[tuple[str, int]] = frozenset()) -> str:
+def main_text(page: str | None, slot: frozenset[str] | None, repeated: frozenset[tuple[str, int]] = frozenset()) -> str:
     """The blocks of a page's slot around the repeated containers; with no such slot in the page, of the page's own."""
     regions, pieces = parsed(page or "")
     own = masses(regions)
-    if slot is None or slot not in own:
-        slot = article_slot({c: v[1:] for c, v in own.items()})
+    of_page = {c: v[1:] for c, v in own.items()}
+    if slot is None or not slot & own.keys():
+        slot = article_slot(of_page)
+    elif any(own[c][3] for c in slot & own.keys()):
+        slot |= main_slots(of_page)
     words = digests(regions, pieces) if repeated else [None] * len(regions)
     inside = [False] * len(regions)
     for i, r in enumerate(regions):
         within = r.parent >= 0 and inside[r.parent]
-        inside[i] = not r.dropped and (within and (r.chain, words[i]) not in repeated or not within and r.chain == slot)
+        inside[i] = not r.dropped and (within and (r.chain, words[i]) not in repeated or not within and r.chain in slot)
     blocks: dict[int, list[str]] = defaultdict(list)
     for p in pieces:
         if inside[p.region]:
@@ -256,13 +277,13 @@ def templates(pages: DataFrame) -> DataFrame:
     return frequent.groupBy("host").agg(F.collect_list(F.struct("chain", "digest", "text", "link", (F.col("main") > 0).alias("main"))).alias("slots"))
 
 
-def template_of(listed: list[dict] | None) -> tuple[str | None, frozenset[tuple[str, int]]]:
+def template_of(listed: list[dict] | None) -> tuple[frozenset[str] | None, frozenset[tuple[str, int]]]:
     """The slot of a host and the repeated containers to leave out inside it."""
     if not listed:
         return None, frozenset()
     slot = article_slot({s["chain"]: (s["text"], s["link"], s["main"]) for s in listed if s["digest"] is None})
     repeated = frozenset((s["chain"], s["digest"]) for s in listed if s["digest"] is not None)
-    return slot, frozenset() if any(c == slot for c, _ in repeated) else repeated
+    return slot, frozenset() if any(c in slot for c, _ in repeated) else repeated
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -272,7 +293,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     joined = hosted.join(templates(hosted), "host", "left").select("page_id", "url", "html", "host", "slots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[str | None, frozenset[tuple[str, int]]]] = {}
+        known: dict[str, tuple[frozenset[str] | None, frozenset[tuple[str, int]]]] = {}
         for batch in batches:
             texts = []
             slots = batch.column("slots")

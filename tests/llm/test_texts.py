@@ -177,6 +177,21 @@ def test_copied_articles_stay_whole(spark):
     assert texts == {"Same title\nOne & Same title two bold text\nThree <x>"}
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div id='content' class='has-sidebar'>one<div class='sidebar-content'>no</div></div>", "one"),
+        ("<div class='post comment-open'>one</div><div class='comment'>no</div>", "one"),
+        ("<div class='has-sidebar'><p>one of many words</div><div class='ad'>no</div>", "one of many words"),
+        ("<section class='entry-intro'>one</section><section class='entry-body'>two and more</section><footer>no</footer>", "one\ntwo and more"),
+    ],
+)
+def test_main_containers_stay(spark, page, text):
+    rows = [(i, "http://m.example/", page.replace("one", f"one {i}")) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in template.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: text.replace("one", f"one {i}") for i in range(5)}
+
+
 def test_repeated_blocks_go(spark):
     block = "<div class='x3'><div>Read  all our {}</div> words</div>"
     rows = [(i, "http://r.example/", f"<article><h1>T{i}</h1>{block.format('old')}<p>same<div class=x3>own {i}</div></article>") for i in range(10)]
