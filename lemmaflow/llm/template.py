@@ -1,308 +1,329 @@
-"""Main text of web pages by deduced templates.
-
-A token is a container with its chain of containers (tag and class); with the
-words it encloses it is a second token. Both are counted by pages of a host in one
-aggregation, however many pages a host has. Chains on at least ``SUPPORT`` of a
-host's pages are its layout: each knows its share of the host's text and of link
-text. The slots that hold the article are all outermost ones named main, else the deepest with most of the text
-which is not in menus, notices and the like; those are known by fixed lists of tags
-and names. Inside the slot, containers that have the same words on ``NEARLY`` all
-pages are the host's template too, whatever their names: what stands around them is
-extracted. A host whose slot itself has the same words on nearly all pages holds
-copies of one article, and hosts of under ``LEAST`` pages show too little: nothing
-of theirs is dropped as repeated. Single words and paragraphs are never dropped for
-being repeated, containers only. A page without the template's slot is judged alone.
+"""Main text of web pages by templates deduced from equivalence classes.
+
+Tokens are the opening and closing tags of a page's elements, each with its chain
+of containers, and its texts, a block being one token with its chain (a block is
+what stands between two block-level tags). A token's occurrence vector over the
+pages of its host is known by two linear digests: each page has a random number,
+and a token sums those of its pages as often as it occurs on them. Sums go through
+one aggregation, however many pages a host has. Tokens of one digest are an
+equivalence class.
+
+A class is valid if it is large (``LARGE`` tokens) and frequent (``SUPPORT`` of the
+host's pages). Valid classes nest into the template: a class stands in the slot of
+the innermost container that encloses it; one whose tokens stand in several slots
+is split by slot, and each part must be large by itself. A text joins the class of
+its container if it stands on ``NEARLY`` all of the container's pages, so that one odd
+page doesn't hide it. What is left around the template's tokens is in its slots. The slots of the article are those inside one
+container of the template, found from the root down as long as one container holds
+``MOST`` of what varies from page to page and isn't links; an ``article`` or
+``main`` element ends the descent, and so does a container with text of its own.
+
+From these slots, the template's texts go, and so do containers of the template that hold hardly anything but links. What HTML itself
+gives another meaning (nav, footer, aside, form ...) is outside, and layout
+containers (div, section, list, table; never a paragraph or heading) whose whole
+class name says advert, comments and the like, unless they hold most of the page's
+text. Pages of hosts with fewer than ``LEAST`` pages, or without their host's slot,
+are judged alone by the same descent; nothing of theirs is dropped as repeated. Nor
+is it where most of the article would go: such a host holds copies of one article.
 
 Edge cases: null or empty html gives an empty text; unclosed and stray tags,
-comments, and tag-like strings in scripts do no harm; a null or odd url falls to
-an empty host; repeated rows are pages of their own; an empty table gives an
-empty table; extra columns are not read.
+comments, and tag-like strings in scripts do no harm, and no page takes more than
+linear time (`markup`); a null or odd url falls to an empty host; repeated rows are
+pages of their own; an empty table gives an empty table; extra columns are not read.
 """
 
 from __future__ import annotations
 
-import html as markup
+import html as markup_text
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches
+from .markup import Region, hashed, parsed
+from .store import small_batches, written
 
-SUPPORT = 0.3
-#: Share of a host's pages that have a container with the same words if it is template, and the least pages that show it.
-NEARLY, LEAST = 0.9, 4
-#: Share of a level's text that a slot must hold to be descended into.
-MOST = 0.7
-
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""", re.S)
-_NAME = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+")
+LARGE, SUPPORT, NEARLY, LEAST = 3, 0.3, 0.9, 4
+#: Share of a level's text that a slot must hold to be descended into, and link text of a menu's text.
+MOST, MENU = 0.7, 0.8
+#: Bytes of all hosts' templates that may be sent to every task; beyond, only those of hosts with more than a ``HEAVY``-th of all pages are.
+SENT, HEAVY = 16 << 20, 1000
 _SPACE = re.compile(r"\s+")
-
-# Element names of HTML.
-_RAW = frozenset("script style noscript template textarea title iframe svg math canvas object select option button".split())
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-_FRAME = frozenset("html body article main section div aside nav header footer form table tbody thead tr td th ul ol dl li dd dt blockquote figure details dialog center fieldset menu".split())
-_DROP = frozenset("nav footer aside form menu dialog head".split())
-# Words in class, id and role names of what is not the article.
-_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer "
-    "masthead cookie cookies consent gdpr notice notices alert newsletter subscribe signup login popup modal overlay share sharing social related recommended recommendations "
-    "comment comments disqus replies reply widget pagination pager toolbar contentinfo complementary search".split()
-)
-_MAIN = frozenset("article main content post entry story articlebody".split())
+CONTAINER, ELEMENT, TEXT = 0, 1, 2
 
 
 @dataclass(slots=True)
-class Region:
-    chain: str
-    parent: int
+class Node:
+    """A container on the pages of a host, or on one page."""
+
+    chain: int
+    up: int
     tag: str
-    dropped: bool
+    off: bool
+    named: bool
     main: bool
-    text: int = 0
-    link: int = 0
-
-
-@dataclass(slots=True)
-class Piece:
-    """A run of text in a block."""
-
-    region: int
-    block: int
-    text: str
-
-
-def parsed(page: str) -> tuple[list[Region], list[Piece]]:
-    """Containers and text runs of a page, in page order."""
-    regions = [Region("", -1, "", False, False)]
-    pieces: list[Piece] = []
-    own_off, by_name = [False], [False]
-    stack: list[tuple[str, int]] = [("", 0)]
-    links = block = at = 0
-    n = len(page)
-
-    def text(lo: int, hi: int) -> None:
-        if hi > lo:
-            t = page[lo:hi]
-            here = stack[-1][1]
-            pieces.append(Piece(here, block, t))
-            size = len(t) - t.count(" ")
-            regions[here].text += size
-            if links:
-                regions[here].link += size
-
-    while at < n:
-        m = _TAG.search(page, at)
-        if not m:
-            text(at, n)
-            break
-        text(at, m.start())
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if tag == "br":
-            pieces.append(Piece(stack[-1][1], block, " "))
-            continue
-        if tag == "a":
-            links = max(0, links + (-1 if m[1] else 1))
-        if tag not in _INLINE:
-            block += 1
-        if not m[1] and tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
-        if tag in _VOID or m[3].endswith("/"):
-            continue
-        if stack[-1][0] == "p" and tag not in _INLINE:  # a paragraph ends where the next block begins
-            stack.pop()
-        names = [x.lower() for _, *v in _NAME.findall(m[3]) for x in v if x] if m[3] and not m[1] else []
-        words = {w for x in names for w in _SPLIT.split(x)}
-        whole = {w for x in names for w in x.split()}
-        if tag not in _FRAME and not words & _NAMES and (not m[1] or all(t != tag for t, _ in stack)):
-            continue
-        if tag in ("nav", "footer", "aside", "article", "body"):
-            links = 0
-        if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    del stack[depth:]
-                    break
-            continue
-        up = regions[stack[-1][1]]
-        main = tag in ("article", "main") or bool(words & _MAIN) and tag in ("div", "section", "td")
-        off = tag in _DROP or not up.main and (tag == "header" or "header" in words)
-        named = not off and tag not in ("body", "html") and bool(words & _NAMES) and not (main and (tag in ("article", "main") or whole & _MAIN))
-        by_name.append(named)
-        own_off.append(off or named)
-        regions.append(Region(f"{up.chain}/{tag}{'.' + '.'.join(sorted(words - {''})) if words else ''}", stack[-1][1], tag, up.dropped or own_off[-1], main or up.main))
-        stack.append((tag, len(regions) - 1))
-    if any(by_name) and not any(r.main and r.text and not r.dropped for r in regions):
-        # No text named main is left: containers with most of the page's words are not dropped for their names.
-        held = [r.text - r.link for r in regions]
-        for i in range(len(regions) - 1, 0, -1):
-            held[regions[i].parent] += held[i]
-        for i, r in enumerate(regions[1:], 1):
-            r.dropped = regions[r.parent].dropped or own_off[i] and not (by_name[i] and held[i] > MOST * held[0])
-    return regions, pieces
-
-
-def masses(regions: list[Region]) -> dict[str, tuple[int, int, int, bool]]:
-    """By chain: elements, text outside boilerplate, link text in it, and whether its name says main; all with what is nested."""
-    text, link = [0] * len(regions), [0] * len(regions)
-    for i in range(len(regions) - 1, -1, -1):
-        r = regions[i]
-        if not r.dropped:
-            text[i] += r.text
-            link[i] += r.link
-        if r.parent >= 0:
-            text[r.parent] += text[i]
-            link[r.parent] += link[i]
-    out: dict[str, list] = {}
-    for i, r in enumerate(regions):
-        if not r.dropped:
-            got = out.setdefault(r.chain, [0, 0, 0, False])
-            got[0] += 1
-            got[1] += text[i]
-            got[2] += link[i]
-            got[3] |= r.main and (r.parent < 0 or not regions[r.parent].main)
-    return {k: tuple(v) for k, v in out.items()}
-
-
-def main_slots(slots: dict[str, tuple[int, int, bool]]) -> frozenset[str]:
-    """The chains of all outermost slots named main, without those of mostly link text if there are others."""
-    named = {c: 2 * k <= t for c, (t, k, main) in slots.items() if main and t}
-    return frozenset(c for c, words in named.items() if words or not any(named.values()))
-
-
-def article_slot(slots: dict[str, tuple[int, int, bool]]) -> frozenset[str]:
-    """The slots named main; with none, the deepest one with most of the text. slots: text, link text and main by chain."""
-    named = main_slots(slots)
-    if named:
-        return named
-    here = ""
+    text: int
+    link: int
+    direct: int
+    template: bool = True
+    constant: int = 0
+
+
+def children(nodes: dict[int, Node]) -> dict[int, list[Node]]:
+    """Below each container of the template the next ones; other containers are passed through."""
+    out: dict[int, list[Node]] = defaultdict(list)
+    above: dict[int, int] = {0: 0}
+
+    def kept(chain: int) -> int:
+        path = []
+        while chain not in above:
+            path.append(chain)
+            chain = nodes[chain].up if chain in nodes else 0
+        at = above[chain]
+        for c in reversed(path):
+            at = c if c in nodes and nodes[c].template else at
+            above[c] = at
+        return at
+
+    for node in nodes.values():
+        if node.chain and node.template:
+            out[kept(node.up)].append(node)
+    return out
+
+
+def article_slot(nodes: dict[int, Node]) -> tuple[int, frozenset[int]]:
+    """The container of the article's slots, and the named containers that stay since they hold most of the text."""
+    below = children(nodes)
+    order, stack = [], [nodes[0]]
+    while stack:
+        here = stack.pop()
+        order.append(here)
+        stack += below[here.chain]
+    stay = frozenset(x.chain for x in order if x.named and x.text - x.link > MOST * (nodes[0].text - nodes[0].link))
+    mass: dict[int, int] = {}
+    for x in reversed(order):
+        gone = sum(y.text - y.link - y.constant - mass[y.chain] for y in below[x.chain])
+        mass[x.chain] = 0 if x.off or x.named and x.chain not in stay else max(0, x.text - x.link - x.constant - gone)
+    here = nodes[0]
     while True:
-        depth = here.count("/") + 1
-        inner = [(t - k, c) for c, (t, k, _) in slots.items() if c.count("/") == depth and c.startswith(here + "/") and 2 * k <= t]
-        best = max(inner, default=(0, ""), key=lambda x: (x[0], x[1]))
-        total = slots.get(here, (0, 0, False))
-        if not best[0] or best[0] < MOST * (total[0] - total[1]):
-            return frozenset([here])
-        here = best[1]
-
-
-def digests(regions: list[Region], pieces: list[Piece]) -> list[int | None]:
-    """By region: a hash of the words it encloses, whatever the space between them; none without words or in boilerplate."""
-    raw = [" ".join(p.text.split()).encode("utf-8", "replace") for p in pieces]
-    data = b" ".join(x for x in raw if x)
-    # Regions are listed as they open, so what one encloses is one span of the pieces.
-    first, last = [-1] * len(regions), [-1] * len(regions)
-    at = 0
-    for p, x in zip(pieces, raw, strict=True):
-        if x:
-            if first[p.region] < 0:
-                first[p.region] = at
-            last[p.region] = at + len(x)
-            at += len(x) + 1
-    for i in range(len(regions) - 1, 0, -1):
-        up = regions[i].parent
-        if last[i] >= 0:
-            first[up] = first[i] if first[up] < 0 else min(first[up], first[i])
-            last[up] = max(last[up], last[i])
-    return [None if r.dropped or hi < 0 else xxhash.xxh64_intdigest(data[lo:hi]) >> 1 for r, lo, hi in zip(regions, first, last, strict=True)]
-
-
-def main_text(page: str | None, slot: frozenset[str] | None, repeated: frozenset[tuple[str, int]] = frozenset()) -> str:
-    """The blocks of a page's slot around the repeated containers; with no such slot in the page, of the page's own."""
-    regions, pieces = parsed(page or "")
-    own = masses(regions)
-    of_page = {c: v[1:] for c, v in own.items()}
-    if slot is None or not slot & own.keys():
-        slot = article_slot(of_page)
-    elif any(own[c][3] for c in slot & own.keys()):
-        slot |= main_slots(of_page)
-    words = digests(regions, pieces) if repeated else [None] * len(regions)
+        inner = [x for x in below[here.chain] if mass[x.chain]]
+        best = max(inner, default=None, key=lambda x: (mass[x.chain], x.main, -x.chain))
+        bears = here.tag not in ("", "html", "body") and here.direct > here.constant
+        if best is None or bears or here.main or mass[best.chain] < MOST * mass[here.chain] or best.tag == "section" and sum(x.tag == "section" for x in inner) > 1:
+            return here.chain, stay
+        here = best
+
+
+def nodes_of(regions: list[Region]) -> dict[int, Node]:
+    """The containers of one page, those with one chain taken together."""
+    nodes: dict[int, Node] = {}
+    for r in regions:
+        got = nodes.get(r.chain)
+        if got is None:
+            nodes[r.chain] = Node(r.chain, regions[r.parent].chain if r.parent >= 0 else 0, r.tag, r.off, r.named, r.main, r.text, r.link, r.direct)
+        else:
+            got.text += r.text
+            got.link += r.link
+            got.direct += r.direct
+    return nodes
+
+
+@dataclass(frozen=True)
+class Template:
+    """What is extracted on a host's pages: the container of the article's slots, the named containers that stay, the menus and the texts to leave out."""
+
+    slot: int
+    stay: frozenset[int]
+    menus: frozenset[int]
+    texts: frozenset[int]
+
+
+def main_text(page: str | None, template: Template | None = None) -> str:
+    """The blocks of the article's slots on a page."""
+    regions, blocks, _ = parsed(page or "")
+    if template is None or all(r.chain != template.slot for r in regions):
+        slot, stay = article_slot(nodes_of(regions))
+        template = Template(slot, stay, frozenset(), frozenset())
     inside = [False] * len(regions)
     for i, r in enumerate(regions):
-        within = r.parent >= 0 and inside[r.parent]
-        inside[i] = not r.dropped and (within and (r.chain, words[i]) not in repeated or not within and r.chain in slot)
-    blocks: dict[int, list[str]] = defaultdict(list)
-    for p in pieces:
-        if inside[p.region]:
-            blocks[p.block].append(p.text)
-    lines = (_SPACE.sub(" ", markup.unescape("".join(parts))).strip() for parts in blocks.values())
+        if r.chain == template.slot:
+            inside[i] = True
+        elif r.parent >= 0 and inside[r.parent]:
+            inside[i] = not (r.off or r.named and r.chain not in template.stay or r.chain in template.menus)
+    lines = []
+    for b in blocks:
+        if inside[b.region] and not (template.texts and text_key(regions[b.region].chain, b.words()) in template.texts):
+            lines.append(_SPACE.sub(" ", markup_text.unescape("".join(b.parts))).strip())
     return "\n".join(x for x in lines if x)
 
 
+def text_key(chain: int, words: str) -> int:
+    return hashed(f"{chain} {words}")
+
+
 def host_of(column: str) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(column, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """Per host: its frequent chains, as a list of slots, and among them (with a digest) the containers of the same words."""
+_TOKEN = (
+    "host string, key long, up long, kind int, tag string, off boolean, named boolean, main boolean, pages long, v1 long, v2 long, text long, link long, direct long"
+)
+_KEYS = ["host", "key", "up", "kind", "tag", "off", "named", "main"]
+_SUMS = ["pages", "v1", "v2", "text", "link", "direct"]
+
+
+def tokens(pages: DataFrame) -> DataFrame:
+    """Per host and token: pages, the two digests of its occurrence vector, and sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, str, int | None], list[int]] = {}
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                regions, pieces = parsed(page or "")
-                for chain, (_, text, link, main) in masses(regions).items():
-                    got = sums.setdefault((host, chain, None), [0, 0, 0, 0])
+            sums: dict[tuple, list[int]] = {}
+
+            def add(key: tuple, n: int, one: int, two: int, text: int = 0, link: int = 0, direct: int = 0, sums: dict = sums) -> None:
+                got = sums.get(key)
+                if got is None:
+                    sums[key] = [1, n * one, n * two, text, link, direct]
+                else:
                     got[0] += 1
-                    got[1] += text
-                    got[2] += link
-                    got[3] |= main
-                for chain, words in {(r.chain, x) for r, x in zip(regions, digests(regions, pieces), strict=True) if x is not None}:
-                    sums.setdefault((host, chain, words), [0, 0, 0, 0])[0] += 1
-            cols = list(zip(*((*k, *v) for k, v in sums.items()), strict=True)) or [()] * 7
-            kinds = (pa.string(), pa.string(), *[pa.int64()] * 5)
-            names = ("host", "chain", "digest", "n_pages", "text", "link", "main")
-            yield pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=True)})
-
-    seen = pages.select("host", "html").mapInArrow(run, "host string, chain string, digest long, n_pages long, text long, link long, main long")
-    tokens = seen.groupBy("host", "chain", "digest").agg(F.sum("n_pages").alias("n_pages"), F.sum("text").alias("text"), F.sum("link").alias("link"), F.max("main").alias("main"))
-    # Containers on too few pages for any host go before the join, and so nearly all.
-    some = tokens.where(F.col("digest").isNull() | (F.col("n_pages") >= NEARLY * LEAST))
-    of_host = pages.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
-    least = F.when(F.col("digest").isNull(), SUPPORT * F.col("of")).otherwise(NEARLY * F.greatest("of", F.lit(LEAST)))
-    frequent = some.join(of_host, "host").where(F.col("n_pages") >= least)
-    return frequent.groupBy("host").agg(F.collect_list(F.struct("chain", "digest", "text", "link", (F.col("main") > 0).alias("main"))).alias("slots"))
-
-
-def template_of(listed: list[dict] | None) -> tuple[frozenset[str] | None, frozenset[tuple[str, int]]]:
-    """The slot of a host and the repeated containers to leave out inside it."""
-    if not listed:
-        return None, frozenset()
-    slot = article_slot({s["chain"]: (s["text"], s["link"], s["main"]) for s in listed if s["digest"] is None})
-    repeated = frozenset((s["chain"], s["digest"]) for s in listed if s["digest"] is not None)
-    return slot, frozenset() if any(c in slot for c, _ in repeated) else repeated
+                    got[1] += n * one
+                    got[2] += n * two
+                    got[3] += text
+                    got[4] += link
+                    got[5] += direct
+
+            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                regions, blocks, elements = parsed(page or "")
+                vector = hashed(page or "")
+                one, two = vector & 0x7FFFFFFF, vector >> 31 & 0x7FFFFFFF
+                times: dict[int, int] = defaultdict(int)
+                for r in regions:
+                    times[r.chain] += 1
+                for x in nodes_of(regions).values():
+                    add((host, x.chain, x.up, CONTAINER, x.tag, x.off, x.named, x.main), times[x.chain], one, two, x.text, x.link, x.direct)
+                for (chain, tag), n in elements.items():
+                    add((host, hashed(f"{chain}#{tag}"), chain, ELEMENT, tag, False, False, False), n, one, two)
+                texts: dict[tuple[int, int], list[int]] = {}
+                for b in blocks:
+                    if b.size:
+                        chain = regions[b.region].chain
+                        got = texts.setdefault((text_key(chain, b.words()), chain), [0, 0])
+                        got[0] += 1
+                        got[1] += b.size - b.link
+                for (key, chain), (n, size) in texts.items():
+                    add((host, key, chain, TEXT, None, False, False, False), n, one, two, size)
+            cols = list(zip(*((*k, *v) for k, v in sums.items()), strict=True)) or [()] * 14
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), *[pa.bool_()] * 3, *[pa.int64()] * 6)
+            yield pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, c, k in zip([*_KEYS, *_SUMS], cols, kinds, strict=True)})
+
+    return pages.select("host", "html").mapInArrow(run, _TOKEN).groupBy(*_KEYS).agg(*[F.sum(c).alias(c) for c in _SUMS])
+
+
+def deduced(rows: list[dict], n: int) -> Template:
+    """The template of a host with n pages from its frequent tokens."""
+    containers = {r["key"]: r for r in rows if r["kind"] == CONTAINER}
+    classes: dict[tuple[int, int], list[dict]] = defaultdict(list)
+    for r in rows:
+        classes[r["v1"], r["v2"]].append(r)
+    weight = lambda part: sum(2 - (r["kind"] == TEXT) for r in part)
+    accepted: set[int] = {0}
+    # Wider classes come first, so what encloses a class is known when its slot is looked for.
+    for members in sorted(classes.values(), key=lambda m: (-m[0]["pages"], min(r["key"] for r in m))):
+        if weight(members) < LARGE:
+            continue
+        own = {r["key"] for r in members if r["kind"] == CONTAINER}
+        slots: dict[int, list[dict]] = defaultdict(list)
+        for r in members:
+            at = r["up"]
+            while at in own and at or at and at not in accepted:
+                at = containers[at]["up"] if at in containers else 0
+            slots[at].append(r)
+        for part in slots.values():
+            if weight(part) >= LARGE:
+                accepted |= {r["key"] for r in part if r["kind"] == CONTAINER}
+    texts = [r for r in rows if r["kind"] == TEXT and r["up"] in accepted and r["pages"] >= NEARLY * (containers[r["up"]]["pages"] if r["up"] in containers else n)]
+    root = containers.get(0)
+    nodes = {0: Node(0, 0, "", False, False, False, root["text"] if root else 0, root["link"] if root else 0, root["direct"] if root else 0)}
+    for key, r in containers.items():
+        if key:
+            nodes[key] = Node(key, r["up"], r["tag"], r["off"], r["named"], r["main"], r["text"], r["link"], r["direct"], key in accepted)
+
+    def enclosing(chain: int) -> Iterator[Node]:
+        while True:
+            yield nodes[chain if chain in nodes else 0]
+            if chain == 0 or chain not in nodes:
+                return
+            chain = nodes[chain].up
+
+    known = sum(r["text"] for r in texts)
+    if known <= NEARLY * (nodes[0].text - nodes[0].link):
+        for r in texts:
+            for x in enclosing(r["up"]):
+                x.constant += r["text"]
+    slot, stay = article_slot(nodes)
+    within = {r["key"]: r["text"] for r in texts if any(x.chain == slot for x in enclosing(r["up"]))}
+    if 2 * sum(within.values()) > nodes[slot].text - nodes[slot].link:
+        within = {}
+    menus = frozenset(x.chain for x in nodes.values() if x.template and x.chain != slot and x.text and x.link >= MENU * x.text and any(y.chain == slot for y in enclosing(x.up)))
+    return Template(slot, stay, menus, frozenset(within))
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """Per host of ``LEAST`` pages with html or more: pages and the parts of its `Template`."""
+    pages = pages.where("html is not null and html != ''")
+    of_host = written(pages.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "hosts")
+    # Tokens on too few pages for any host go before the join, and so nearly all.
+    some = written(tokens(pages).where(F.col("pages") >= SUPPORT * LEAST), "tokens")
+    frequent = some.join(of_host.where(F.col("n") >= LEAST), "host").where(F.col("pages") >= SUPPORT * F.col("n"))
+    listed = frequent.groupBy("host", "n").agg(F.collect_list(F.struct("key", "up", "kind", "tag", "off", "named", "main", *_SUMS)).alias("tokens"))  # at most 1 / SUPPORT times the tokens of a page
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [deduced(rows, n) for rows, n in zip(batch.column("tokens").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "host": batch.column("host"),
+                    "n": batch.column("n"),
+                    "slot": pa.array([t.slot for t in made], pa.int64()),
+                    **{c: pa.array([sorted(getattr(t, c)) for t in made], lists) for c in ("stay", "menus", "texts")},
+                }
+            )
+
+    return written(listed.mapInArrow(run, "host string, n long, slot long, stay array<long>, menus array<long>, texts array<long>"), "templates")
+
+
+def _with_templates(pages: DataFrame, made: DataFrame) -> DataFrame:
+    """Each page with its host's template; the html of a host with many pages is never gathered."""
+    size = F.octet_length("host") + 64 + 8 * (F.size("stay") + F.size("menus") + F.size("texts"))
+    row = made.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    if row["bytes"] <= SENT:
+        return pages.join(F.broadcast(made.drop("n")), "host", "left")
+    heavy = F.broadcast(made.where(F.col("n") * HEAVY > row["n"]).drop("n"))  # fewer than HEAVY rows
+    rest = pages.join(heavy.select("host"), "host", "left_anti").join(made.where(F.col("n") * HEAVY <= row["n"]).drop("n"), "host", "left")
+    return pages.join(heavy, "host").unionByName(rest)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     small_batches(pages.sparkSession)
     hosted = pages.select("page_id", "url", "html", host_of("url").alias("host"))
-    joined = hosted.join(templates(hosted), "host", "left").select("page_id", "url", "html", "host", "slots")
+    joined = _with_templates(hosted, templates(hosted)).select("page_id", "url", "html", "host", "slot", "stay", "menus", "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[frozenset[str] | None, frozenset[tuple[str, int]]]] = {}
+        known: dict[str, Template | None] = {}
         for batch in batches:
             texts = []
-            slots = batch.column("slots")
+            slot, *lists = (batch.column(c) for c in ("slot", "stay", "menus", "texts"))
             for i, (host, page) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
                 if host not in known:
                     if len(known) > 10_000:
                         known.clear()
-                    known[host] = template_of(slots[i].as_py())
-                texts.append(main_text(page, *known[host]))
+                    known[host] = Template(slot[i].as_py(), *(frozenset(x[i].as_py()) for x in lists)) if slot[i].is_valid else None
+                texts.append(main_text(page, known[host]))
             yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id").cast(pa.int64()), "url": batch.column("url").cast(pa.string()), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
