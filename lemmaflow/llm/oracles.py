@@ -15,8 +15,9 @@ r(doc_id, node) as (select doc_id, doc_id from documents union select r.doc_id,
 select r.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(node) as component_id from r left join n on n.doc_id = r.doc_id group by r.doc_id"""
 
 SHARDING = """with bits as (select list(c order by i) as t from (select i, list_reduce(range(8), lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, i) as c from (select unnest(range(256))::bigint as i))),
-b as (select doc_id, source, coalesce(text, '') as text, md5(concat_ws(':', '17', coalesce(doc_id::varchar, 'null'))) as o, coalesce('s' || source, 'n') as st from documents),
-c as (select b.*, (strlen(text) + 1)::bigint as size, xor(list_reduce(list_transform(string_split(regexp_replace(hex(encode(text)), '(..)', '\\1 ', 'g'), ' ')[:-2], lambda h: ('0x' || h)::bigint), lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1]), 4294967295::bigint), 4294967295)::bigint as text_crc32 from b, bits),
+b as (select doc_id, source, coalesce(text, '') as text, coalesce('s' || source, 'n') as st from documents),
+e as (select b.*, (strlen(text) + 1)::bigint as size, xor(list_reduce(list_transform(string_split(regexp_replace(hex(encode(text)), '(..)', '\\1 ', 'g'), ' ')[:-2], lambda h: ('0x' || h)::bigint), lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1]), 4294967295::bigint), 4294967295)::bigint as text_crc32 from b, bits),
+c as (select *, md5(concat_ws(':', '17', coalesce(doc_id::varchar, 'null'), text_crc32::varchar, size::varchar)) as o from e),
 k as (select *, row_number() over (partition by st order by o, doc_id, text_crc32, size) as rank, count(*) over (partition by st) as total, count(*) over () as n from c),
 f as (select *, (rank - (('0x' || substr(md5(st), 1, 8))::bigint::double + 0.5::double) / 4294967296::double) / total as share from k),
 g as (select *, row_number() over (order by share, st, o, doc_id, text_crc32, size) - 1 as place from f)
@@ -46,6 +47,6 @@ h as (select source, count(*) as n, count(*) filter (n_failed_rules > 0) as bad
 q as (select least(greatest(avg(bad / n), 1e-6), 1 - 1e-6) as mu, var_samp(bad / n) as v, avg(n) as n from h),
 z as (select mu, case when v > 0 then least(greatest(mu * (1 - mu) / v - 1, 1), 1e6) else greatest(n, 1) end as s from q),
 b as (select source, (bad + mu * s) / (n + s) > 0.5 as host_bad from h, z)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 or f2 as base_failed, not (f1 or f2) and not (host_bad and n_failed_rules > 0) as kept, y.source, n_failed_rules from y join b on y.source is not distinct from b.source"""
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 or f2 as base_failed, not (f1 or f2) and not host_bad as kept, y.source, n_failed_rules from y join b on y.source is not distinct from b.source"""
 
 ORACLES = {"op1_jaccard_join": JACCARD, "op3_stratified_sharding": SHARDING, "op6_substring_dedup": SUBSTRING, "op9_warc_round_trip": WARC, "op10_quality_rules": QUALITY}

@@ -10,7 +10,8 @@ plan of a bounded number of moves: ranks ``q0`` to ``q1`` of a length go to bins
 from ``bin`` on, ``per`` to a bin, from ``offset`` on. Rows are ranked within
 their length (`ranks`) and look their place up in the plan.
 
-Edge cases: a null or empty text is one separator; repeated rows and repeated or
+Edge cases: a null or empty text is one separator; the string of a special token is
+that token, wherever it stands; repeated rows and repeated or
 null ids are packed as often as they stand; an empty table gives an empty table;
 only doc_id and the text are read, so other columns cannot clash.
 """
@@ -25,31 +26,37 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import groups_for, with_rank
 from .store import small_batches, written
-from .text import give_back
+from .text import give_back, mix
+
+
+#: Strings that the vocabulary's own tokenizer takes for one id wherever they stand in a text (fixed value).
+SPECIAL = (("<|endoftext|>", 50256),)
 
 
 @lru_cache(maxsize=4)
-def encoder(vocabulary: str, pattern: str) -> tiktoken.Encoding:
-    """A byte-level BPE from a file of ranks; strings of special tokens are ordinary text."""
+def encoder(vocabulary: str, pattern: str, special: tuple[tuple[str, int], ...] = SPECIAL) -> tiktoken.Encoding:
+    """A byte-level BPE from a file of ranks and its special tokens."""
     with open(vocabulary, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special))
 
 
-def pieces(docs: DataFrame, vocabulary: str, pattern: str, room: int, separator: int = 0) -> DataFrame:
-    """Per piece: doc_id, piece, start, length and the crc of its ids."""
+def pieces(docs: DataFrame, vocabulary: str, pattern: str, room: int, separator: int = 0, special: tuple[tuple[str, int], ...] = SPECIAL) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, the crc of its ids, and a random number to deal equal rows out by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, pattern).encode_ordinary
+        code = encoder(vocabulary, pattern, special)
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column("text")):
-                ids = np.array([*encode(text.as_py() or ""), separator], "<u4")
+                ids = np.array([*code.encode(text.as_py() or "", allowed_special="all"), separator], "<u4")
                 lo = 0
                 hi = len(ids) % room or min(room, len(ids))
                 k = 0
@@ -64,10 +71,12 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, room: int, separator:
                     "start": pa.array(start, pa.int64()),
                     "length": pa.array(length, pa.int64()),
                     "ids_crc32": pa.array(crc, pa.int64()),
+                    "_salt": pa.array(mix(np.arange(row, row + len(at), dtype=np.uint64)).view(np.int64)),
                 }
             )
+            row += len(at)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, _salt long")
 
 
 class OpenBins:
@@ -136,9 +145,9 @@ def packed(made: DataFrame, room: int) -> DataFrame:
     """``made`` (pieces) with sequence_id and offset."""
     counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     moves, _ = best_fit_plan(counts, room)
-    order = ["doc_id", "piece", "start", "ids_crc32"]
     groups = groups_for(max(counts.values(), default=0))
-    ranked = with_rank(made.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(groups))), ["length"], "_bucket", [F.col(c) for c in order], "_rank")
+    dealt = made.withColumn("_bucket", F.pmod("_salt", F.lit(groups)))
+    ranked = with_rank(dealt, ["length"], "_bucket", [F.col("_salt"), *[F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32")]], "_rank")
     plan = np.array(sorted(moves), np.int64).reshape(-1, 6)
     scale = 1 << 44
 
@@ -148,16 +157,16 @@ def packed(made: DataFrame, room: int) -> DataFrame:
             length, q = batch.column("length").to_numpy(), batch.column("_rank").to_numpy() - 1
             move = plan[np.searchsorted(begins, length * scale + q, "right") - 1] if len(q) else plan[:0]
             nth = q - move[:, 1]
-            cols = {c: batch.column(c) for c in batch.schema.names if c not in ("_rank", "_bucket")}
+            cols = {c: batch.column(c) for c in batch.schema.names if c != "_rank"}
             cols["sequence_id"] = pa.array(move[:, 3] + nth // np.maximum(move[:, 4], 1))
             cols["offset"] = pa.array(move[:, 5] + nth % np.maximum(move[:, 4], 1) * length)
             yield pa.RecordBatch.from_pydict(cols)
 
-    kept = ranked.select(*made.columns, "_rank")
-    return kept.mapInArrow(run, made.schema.add("sequence_id", "long").add("offset", "long"))
+    out = made.drop("_salt")
+    return ranked.select(*out.columns, "_rank").mapInArrow(run, out.schema.add("sequence_id", "long").add("offset", "long"))
 
 
-def best_fit_packing(docs: DataFrame, vocabulary: str, pattern: str, room: int = 2048, separator: int = 0) -> DataFrame:
+def best_fit_packing(docs: DataFrame, vocabulary: str, pattern: str, room: int = 2048, separator: int = 0, special: tuple[tuple[str, int], ...] = SPECIAL) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset."""
     small_batches(docs.sparkSession)
-    return packed(written(pieces(docs, vocabulary, pattern, room, separator), "pieces"), room)
+    return packed(written(pieces(docs, vocabulary, pattern, room, separator, special), "pieces"), room)

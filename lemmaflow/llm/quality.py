@@ -3,9 +3,9 @@
 Each text gets counts and rule failures. Failures are summed by host, each
 host's failure rate is shrunk by a beta prior that is fitted to all hosts by
 moments, and a host whose shrunk rate exceeds ``host_limit`` is bad. The verdict
-comes back to the documents: in a bad host, a document that itself fails a rule
-goes; a document that fails no rule stays wherever it stands, and one that fails
-the base rules goes everywhere.
+comes back to the documents: all documents of a bad host go, and one that fails the
+base rules goes everywhere. With ``spare_clean`` the host's verdict is held only
+against those of its documents that fail a rule themselves.
 
 Edge cases: a null text counts as empty (no words, fails the base); a null host
 is a host of its own; repeated rows each count and each get a row; an empty table
@@ -106,19 +106,20 @@ def host_verdicts(counts: DataFrame, host: str = "source", host_limit: float = 0
     return by_host.withColumn("rate", shrunk).withColumn("host_bad", F.col("rate") > host_limit)
 
 
-def with_verdicts(counts: DataFrame, hosts: DataFrame, host: str = "source") -> DataFrame:
-    """Adds base_failed, n_failed_rules and kept."""
+def with_verdicts(counts: DataFrame, hosts: DataFrame, host: str = "source", spare_clean: bool = False) -> DataFrame:
+    """Adds base_failed, n_failed_rules and kept: false if base_failed, else the host's verdict."""
     rules = failures()
     failed = sum((F.coalesce(f, F.lit(False)).cast("int") for f in rules.values()), F.lit(0))
     bad = hosts.where("host_bad").select(F.col(host).alias("_host"), F.lit(True).alias("_bad"))
     base = counts.drop("base_failed", "n_failed_rules", "kept")
     joined = base.join(bad, base[host].eqNullSafe(bad["_host"]), "left").drop("_host")
     base_failed = rules["short"] | rules["repeats"]
-    verdict = ~base_failed & ~(F.coalesce("_bad", F.lit(False)) & (F.col("n_failed_rules") > 0))
+    by_host = F.coalesce("_bad", F.lit(False))
+    verdict = ~base_failed & ~(by_host & (F.col("n_failed_rules") > 0) if spare_clean else by_host)
     return joined.withColumn("base_failed", base_failed).withColumn("n_failed_rules", failed).withColumn("kept", verdict).drop("_bad")
 
 
-def quality_rules(docs: DataFrame, host: str = "source", host_limit: float = 0.5, keep_text: bool = True) -> DataFrame:
+def quality_rules(docs: DataFrame, host: str = "source", host_limit: float = 0.5, keep_text: bool = True, spare_clean: bool = False) -> DataFrame:
     """``docs`` with counts, base_failed, n_failed_rules and kept.
 
     Without the text, the counts are written once and read for both the host
@@ -126,4 +127,4 @@ def quality_rules(docs: DataFrame, host: str = "source", host_limit: float = 0.5
     small_batches(docs.sparkSession)
     light = measured(docs.select(host, "text"), keep_text=False) if keep_text else written(measured(docs, keep_text=False), "counts")
     hosts = host_verdicts(light, host, host_limit)
-    return with_verdicts(measured(docs) if keep_text else light, hosts, host)
+    return with_verdicts(measured(docs) if keep_text else light, hosts, host, spare_clean)

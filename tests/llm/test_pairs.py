@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lemmaflow.llm import jaccard, packing, sharding, substring
@@ -183,12 +184,14 @@ def test_plan_is_best_fit_decreasing(seed):
         assert at <= room
 
 
-def test_packing(spark):
+def test_packing(spark, monkeypatch):
+    from lemmaflow.llm import ranks
+
+    monkeypatch.setattr(ranks, "GROUP_ROWS", 50)
     rng = random.Random(9)
-    rows = [(i, " ".join(rng.choice(VOCABULARY) for _ in range(rng.choice([0, 3, 200, 3000])))) for i in range(60)] + [(60, None), (61, ""), (61, ""), (None, "x"), (62, "<|endoftext|> é日")]
+    rows = [(i, " ".join(rng.choice(VOCABULARY) for _ in range(rng.choice([0, 3, 200, 3000])))) for i in range(60)] + [(60, None), (61, ""), (61, ""), (None, "x"), (62, "<|endoftext|> é日"), (63, "a  <|endoftext|>  <|endoftext|>b <|endoftext>")] + [(None, None)] * 300
     got = packing.best_fit_packing(frame(spark, rows, True), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 2048).collect()
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    slow.encode_special_tokens = True
     expected = []
     for d, t in rows:
         ids = np.array([*slow.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -222,11 +225,24 @@ def test_sharding(spark, monkeypatch):
         part = Counter(r["shard"] for r in got if r["stratum"] == stratum)
         assert max(part.get(s, 0) for s in range(16)) - min(part.get(s, 0) for s in range(16)) <= 3
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, _ in rows)
+    monkeypatch.setattr(sharding, "CHUNK", 4)
     again = sharding.stratified_shards(df.repartition(7)).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
     assert sharding.stratified_shards(df.limit(0)).collect() == []
 
 
+def test_equal_rows_are_spread(spark):
+    """100,000 rows without id and text: no window of theirs may gather them all."""
+    df = spark.range(100_000, numPartitions=4).selectExpr("cast(null as long) as doc_id", "cast(null as string) as text", "'s' as source").unionByName(spark.range(1000).selectExpr("id as doc_id", "string(id) as text", "'t' as source"))
+    got = sharding.stratified_shards(df)
+    counts = [r["n"] for r in got.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).where("n = d and m = n - 1").collect()]
+    assert len(counts) == 16 and sum(counts) == 101_000 and max(counts) - min(counts) <= 1
+    made = packing.pieces(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 2048)
+    assert made.groupBy(F.pmod("_salt", F.lit(8))).count().agg(F.max("count")).first()[0] < 14_000
+    packed = packing.packed(made, 2048)
+    assert packed.select("sequence_id", "offset").distinct().count() == 101_000
+
+
 def test_words_over_blocks():
     texts = [None, "", " a  b\x0bc", "é x y", "long " * 500, "z"]
     for limit in (1, 7, 1 << 20):

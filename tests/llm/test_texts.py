@@ -45,10 +45,10 @@ def test_quality_rules(spark):
     junk = "### " * 40 + clean
     rows = [(i, clean + f" {i}", "good") for i in range(30)] + [(100 + i, junk, "bad") for i in range(30)] + [(200, clean, "bad"), (201, None, None), (202, "few words", "good"), (203, "x y z " * 40, "good"), (204, junk, "good"), (200, clean, "bad")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'x' as n_words", "1 as kept", "2 as host_bad")
-    for keep_text in (True, False):
-        got = {r["doc_id"]: r for r in quality.quality_rules(df, keep_text=keep_text).collect()}
+    for keep_text, spare in ((True, False), (False, False), (True, True)):
+        got = {r["doc_id"]: r for r in quality.quality_rules(df, keep_text=keep_text, spare_clean=spare).collect()}
         assert all(got[i]["kept"] for i in range(30)) and not any(got[100 + i]["kept"] for i in range(30))
-        assert got[200]["kept"] and got[204]["kept"]  # a clean text of a bad host, a poor text of a good one
+        assert got[200]["kept"] == spare and got[204]["kept"]  # a clean text of a bad host, a poor text of a good one
         assert not any(got[i]["kept"] for i in (201, 202, 203)) and got[203]["base_failed"]
         assert quality.quality_rules(df, keep_text=keep_text).count() == len(rows)
     assert quality.quality_rules(df.limit(0)).collect() == []
