@@ -21,7 +21,9 @@ their own hashes, so no shard holds more than that many segments of one anchor.
 Texts are known by two 64-bit signatures of their words, not by doc_id, so null
 or repeated ids and repeated rows are as good as others. Null texts and texts
 without words have zero words and the digest of the empty string; texts shorter
-than a window lose nothing; an empty table gives an empty table.
+than a window lose nothing; an empty table gives an empty table. Columns of ``docs``
+named like those made here (s1, s2, n_words, n_removed, kept_text, kept_sha256) are
+replaced.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ from .store import fresh_path, small_batches, written
 from .text import Block, blocks, duplicated, mix, window_hash
 
 GRAM = 8
+#: Bytes of texts in a bucket, one task's.
+BUCKET_BYTES = 256 << 20
 HOT = 50_000
 SHARD_WORDS = 200_000
 KEY = ["s1", "s2"]
@@ -268,11 +272,19 @@ def _applied(reps: DataFrame, width: int) -> DataFrame:
     return reps.select(*KEY, "text", "n_words", "copies", "found").mapInArrow(run, "s1 long, s2 long, n_removed long, kept_text string, kept_sha256 string")
 
 
-def _bucketed(df: DataFrame) -> DataFrame:
-    """The texts as a table in buckets of their signatures, so that later joins move only the small side."""
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of the texts: the size of the files that Spark knows, or counted where it only guesses."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 50 else docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
+def _bucketed(df: DataFrame, size: int) -> DataFrame:
+    """The texts, ``size`` bytes of them, as a table in buckets of their signatures, so that later joins move only the small side."""
     spark = df.sparkSession
     name = f"lemmaflow_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A multiple of the shuffle's partitions: each of its tasks then writes whole buckets, and no bucket outgrows a task.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = parts * max(1, -(-size // (BUCKET_BYTES * parts)))
     df.write.format("parquet").bucketBy(buckets, *KEY).option("path", fresh_path(spark, "reps")).option("compression", "zstd").saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name goes, the external files and the resolved plan stay
@@ -285,7 +297,7 @@ def repeated_removed(docs: DataFrame, width: int = 50, keep_text: bool = True) -
     if not GRAM <= width <= 63 - GRAM + 1:
         raise ValueError(f"width must be {GRAM} to {63 - GRAM + 1}")
     small_batches(docs.sparkSession)
-    reps = _bucketed(signed(docs.select("text"), True).groupBy(*KEY).agg(F.first("n_words").alias("n_words"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")))
+    reps = _bucketed(signed(docs.select("text"), True).groupBy(*KEY).agg(F.first("n_words").alias("n_words"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), text_bytes(docs))
     long_reps = reps.where(F.col("n_words") >= width)
     places = written(_anchors(long_reps, width), "anchors")
     # Written, the repeated anchors have a shuffle of their own in the join, so a crowded anchor's places can be split there.
