@@ -28,21 +28,23 @@ def _unpacked(df: DataFrame, docs: DataFrame, text: F.Column) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    judged = quality.quality_rules(_packed(docs, "text", "source"))
+    """Documents that the quality rules keep; those of a bad host go if they fail a rule themselves, so that clean ones stay."""
+    judged = quality.quality_rules(_packed(docs, "text", "source"), spare_clean=True)
     return _unpacked(judged.where("kept"), docs, F.col("text"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at 0.8 or more, the one with the least doc_id; of rows with one doc_id, one."""
-    found = store.written(jaccard.jaccard_components(docs.select("doc_id", "text"), k=5, num=80, den=100), "components")
-    gone = store.written(found.where("doc_id != component_id").select("doc_id").distinct(), "gone")
-    again = store.written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """Of each group of documents linked by five-word shingles at 0.8 or more, the one with the least doc_id.
+
+    Rows are told apart by a key of their own, so rows that share a doc_id, or have none, are judged by their texts;
+    within one doc_id (nulls last) the text with the least hash stays. Texts without words link with nothing."""
+    keyed = store.written(docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("doc_id"), F.col("text")), "keyed")
+    found = store.written(jaccard.jaccard_components(keyed.select("doc_id", "text"), k=5, num=80, den=100), "components")
+    grouped = found.join(keyed.select(F.col("doc_id").alias("_key"), F.col("_row.doc_id").alias("_id"), F.xxhash64("text").alias("_hash")), F.col("doc_id") == F.col("_key"))
+    order = F.struct(F.col("_id").isNull(), "_id", "_hash", "_key")
+    first = grouped.groupBy("component_id").agg(F.min(order).alias("_first")).select(F.col("_first._key").alias("_key"))
+    kept = keyed.join(store.written(first, "first"), F.col("doc_id") == F.col("_key"), "left_semi")
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
