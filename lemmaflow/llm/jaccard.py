@@ -12,18 +12,23 @@ would put nearly all rows into one region. The join therefore descends:
    common pivot in their windows, so each linked pair meets in a region. Any one
    order is exact; here it is by hash, with shingles of crowded regions last, for
    which the lower hashes of all documents are counted once.
-3. In a region the pivot of the next level is a document. Every member is held
-   against it; those within eps link to it and collapse into its component.
-4. What is still apart joins recursively: large regions are split, members that
-   share the pivot's component stay in one part each, and boundary members are
-   replicated into all parts.
-
-Inside a region distances are bounded from below by a histogram of the shingle
-hashes: pooling shingles only moves sets closer, so the pooled distance is a
-contraction of the metric and excludes pairs exactly. Whatever passes is verified
-on the whole texts. A pass offers each point at most ``k`` candidates of each
-other component, and ``k`` grows until nobody holds candidates back, so no link
-is lost and output stays linear in the region.
+3. In a region the pivots of the next levels are documents. Every member is first held
+   against one of them; those within eps link to it and collapse into its component.
+4. Inside a region distances are bounded from below by a histogram of the shingle
+   hashes: pooling shingles only moves sets closer, so the difference of histograms is
+   a contraction of the symmetric difference, a metric itself, in which all that links
+   to a set of n shingles lies within ``r = n (1 - t) / t``. What is still apart joins
+   recursively there: a region of more than ``PART`` members is cut into the Voronoi
+   cells of about ``CELLS`` of its documents, and a member replicates into each cell
+   whose pivot is at most ``2 r`` farther than its nearest (the triangle inequality),
+   but for members of the region's largest component, which need no comparing with each
+   other. Cells are cut again until they are small. Where all distances are alike and
+   the windows would cover most cells, a second shingle cuts instead: among the first
+   ``n - ceil(t n) + 2`` shingles linked sets share two.
+
+Whatever passes the bound is verified on the whole texts. A pass offers each point at
+most ``k`` candidates of each other component, and ``k`` grows until nobody holds
+candidates back, so no link is lost and output stays linear in the region.
 
 Edge cases: null and empty texts, or texts without words, have empty sets and
 link with nothing; texts under k words have one shingle, the whole sequence;
@@ -35,6 +40,7 @@ clash.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +54,8 @@ from .store import written
 from .text import Block, blocks, mix, window_hash
 
 BINS = 256
-PART = 2000
+#: Members of a cell, cells made of a region at once, the rows a cut may make of one, and the cuts one after another.
+PART, CELLS, GROWTH, TURNS = 500, 32, 3, 8
 #: A shingle in more windows than this goes last in the order, up to so many shingles.
 CROWD, MOST_CROWDED = 32, 1 << 20
 
@@ -99,7 +106,7 @@ def _first(s: np.ndarray, last: np.ndarray, p: int) -> np.ndarray:
 
 
 def points(docs: DataFrame, last: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """Per document: n, two signatures of the set, its pivots and its histogram."""
+    """Per document: n, two signatures of the set, its pivots (the window's, and one more) and its histogram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +117,7 @@ def points(docs: DataFrame, last: np.ndarray, k: int, num: int, den: int) -> Dat
                     n.append(size)
                     one.append(int(mix(s).sum(dtype=np.uint64)))
                     two.append(int(mix(s * np.uint64(3) + np.uint64(7)).sum(dtype=np.uint64)))
-                    pivots.append(_first(s, last, _window(size, num, den) if size else 0).view(np.int64))
+                    pivots.append(_first(s, last, _window(size, num, den) + 1 if size else 0).view(np.int64))
                     pooled.append(np.minimum(np.bincount((s >> np.uint64(7)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes())
             ends = np.cumsum([0, *map(len, pivots)])
             yield pa.RecordBatch.from_pydict(
@@ -173,32 +180,101 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _with_components(regions: DataFrame, comps: DataFrame) -> DataFrame:
-    return regions.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+def _described(rows: DataFrame) -> DataFrame:
+    """Rows of regions that hold a pair to test, with cnt, the members, and ``home``, the region's largest component."""
+    by = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("guest")).cast("long")).alias("owners"))
+    largest = F.max_by("comp", F.struct("n", "comp")).alias("home")
+    per = by.groupBy("key").agg(F.sum("n").alias("cnt"), F.count(F.lit(1)).alias("comps"), F.sum("owners").alias("owners"), largest).where("comps > 1 and owners > 0")
+    return rows.join(written(per.select("key", "cnt", "home"), "spread"), "key")
 
 
 def _apart(regions: DataFrame, comps: DataFrame) -> DataFrame:
     """Members of regions that span more than one component and hold more than the pivot and one other."""
-    named = written(_with_components(regions.where("cnt > 2"), comps), "members")
-    spread = written(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("node") == F.col("pivot"), F.col("comp"))).alias("home")).where("lo != hi").select("key", "home"), "spread")
-    return named.join(spread, "key")
+    named = regions.where("cnt > 2").select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows = written(named.select("key", F.col("key").alias("shingle"), "node", "comp", F.lit(False).alias("guest"), F.lit(False).alias("deep")), "members")
+    return written(_described(rows), "apart")
 
 
-def _parts(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Splits regions: each member owns a place in one part; a boundary member also visits the others."""
+def _reach(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The farthest, in the pooled metric, that a set linked to one of ``n`` shingles can be: n (1 - t) / t."""
+    return n * (den - num) / num
+
+
+def _voronoi(rows: DataFrame, nodes: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """Each region's rows dealt to the cells of some of its members: the cell of the nearest, and as guests all cells
+    that the triangle inequality leaves. Members of the home component, never compared with each other, don't visit."""
+    shares = F.greatest(F.lit(1), F.floor(F.col("cnt") / CELLS))
+    chosen = rows.where(F.pmod(F.xxhash64("node", F.lit(turn)), shares) == 0).select("key", "node").distinct()
+    light = nodes.select(F.col("doc_id").alias("node"), "n", "pooled")
+    pivots = chosen.join(light, "node").groupBy("key").agg(F.collect_list(F.struct("node", "pooled")).alias("pivots"))  # about CELLS of each region
+    both = rows.join(light, "node").join(written(pivots, "pivots"), "key", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, home = batch.column("key").to_numpy(), (batch.column("comp").to_numpy() == batch.column("home").to_numpy())
+            guest, reach = batch.column("guest").to_numpy(zero_copy_only=False), _reach(batch.column("n").to_numpy(), num, den)
+            pooled = _pooled(batch.column("pooled")) if batch.num_rows else None
+            at, cell, visits = [], [], []
+            for k in np.unique(key):
+                mine = np.flatnonzero(key == k)
+                listed = batch.column("pivots")[int(mine[0])].as_py()
+                if not listed:
+                    at.append(mine), cell.append(np.full(len(mine), -1)), visits.append(guest[mine])
+                    continue
+                centres = np.frombuffer(b"".join(p["pooled"] for p in listed), np.uint8).reshape(-1, BINS).astype(np.int16)
+                far = np.stack([np.abs(pooled[mine] - c).sum(axis=1, dtype=np.int64) for c in centres], axis=1)
+                near = far.argmin(axis=1)
+                inside = ~home[mine, None] & (far - far.min(axis=1, keepdims=True) <= 2 * reach[mine, None])
+                inside[np.arange(len(mine)), near] = True
+                i, j = np.nonzero(inside)
+                at.append(mine[i]), cell.append(np.array([p["node"] for p in listed])[j]), visits.append(guest[mine[i]] | (j != near[i]))
+            take = pa.array(np.concatenate(at) if at else [], pa.int64())
+            cols = {c: batch.column(c).take(take) for c in ("key", "shingle", "node", "comp", "deep", "cnt")}
+            yield pa.RecordBatch.from_pydict({**cols, "cell": pa.array(np.concatenate(cell) if cell else [], pa.int64()), "guest": pa.array(np.concatenate(visits) if visits else [], pa.bool_())})
+
+    dealt = both.select("key", "shingle", "node", "comp", "guest", "deep", "cnt", "home", "n", "pooled", "pivots")
+    return dealt.mapInArrow(run, "key long, shingle long, node long, comp long, deep boolean, cnt long, cell long, guest boolean")
+
+
+def _split(apart: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, node, comp, part, own) of regions cut, again and again, into cells of at most ``PART`` members.
+
+    Where windows leave members in most cells, for their distances to all pivots are alike, the region is cut by shingle
+    pivots once more: linked members share a second shingle within windows that are longer by one. What neither cuts
+    is taken in blocks of ``PART`` owners, each with all members that could link to them."""
+    cols = ("key", "shingle", "node", "comp", "guest", "deep")
+    done = [apart.where(F.col("cnt") <= PART)]
+    rows, stuck = written(apart.where(F.col("cnt") > PART), "wide"), []
+    for turn in range(TURNS):
+        if rows.isEmpty():
+            break
+        cut = written(_voronoi(rows, nodes, turn, num, den), "cells")
+        grown = written(cut.groupBy("key").agg(F.count(F.lit(1)).alias("made"), F.first("cnt").alias("cnt"), F.first("deep").alias("deep")).where(F.col("made") > GROWTH * F.col("cnt")).select("key", "deep"), "grown")
+        good = cut.join(grown.select("key"), "key", "left_anti").withColumn("key", F.xxhash64("key", "cell"))
+        alike = rows.join(grown.where("not deep").select("key"), "key", "left_semi").join(nodes.select(F.col("doc_id").alias("node"), "pivots"), "node")
+        twos = alike.select(F.col("key").alias("region"), F.col("cnt").alias("of"), *cols[1:5], F.lit(True).alias("deep"), F.explode(F.array_remove("pivots", F.col("shingle"))).alias("_two"))
+        second = written(_described(written(twos.withColumn("key", F.xxhash64("region", "_two")).drop("_two"), "second")), "twos")
+        # Sets with more than two shingles in common would fall into as many regions together: those regions stay as they are.
+        worse = written(second.where(F.col("cnt") > PART).groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.first("of").alias("of")).where(F.col("n") > F.col("of")).select("region"), "worse")
+        stuck.append(rows.join(grown.where("deep").select("key").unionByName(worse.withColumnRenamed("region", "key")), "key", "left_semi"))
+        rows = written(_described(written(good.select(*cols).unionByName(second.join(worse, "region", "left_anti").select(*cols)), "cut")), "rows")
+        done.append(rows.where(F.col("cnt") <= PART))
+        rows = rows.where(F.col("cnt") > PART)
+    stuck.append(rows)
+    whole = functools.reduce(DataFrame.unionByName, [x.select("key", "node", "comp", "guest") for x in done])
     parts = F.ceil(F.col("cnt") / F.lit(PART)).cast("int")
     own = F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int")
-    visits = F.when((parts > 1) & (F.col("comp") != F.col("home")), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))
-    dealt = members.select("key", "node", "comp", F.explode(visits).alias("part"), own.alias("own"))
-    return dealt.join(nodes.select(F.col("doc_id").alias("node"), "n", "pooled"), "node").select("key", "part", "node", "comp", F.col("part") != F.col("own"), "n", "pooled").toDF("key", "part", "node", "comp", "visitor", "n", "pooled")
+    visits = F.when(F.col("comp") != F.col("home"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))
+    blocks_ = functools.reduce(DataFrame.unionByName, stuck).select("key", "node", "comp", "guest", own.alias("_own"), F.explode(visits).alias("part"))
+    return whole.withColumn("part", F.lit(0)).unionByName(blocks_.withColumn("guest", F.col("guest") | (F.col("part") != F.col("_own"))).drop("_own"))
 
 
-def _candidates(members: DataFrame, nodes: DataFrame, most: int, num: int, den: int) -> DataFrame:
-    """(a, b, held) for members of one part in different components; held: a has more than ``most`` candidates in that component."""
-    cols = ("key", "part", "node", "comp", "visitor", "n")
+def _candidates(cells: DataFrame, nodes: DataFrame, most: int, num: int, den: int) -> DataFrame:
+    """(a, b, held) for members of one cell in different components, at least one of them no guest; held: a has more than ``most`` candidates in that component."""
+    cols = ("key", "part", "node", "comp", "guest", "n")
 
     def pairs(at: dict[str, np.ndarray], pooled: np.ndarray) -> Iterator[tuple[int, int, bool]]:
-        own = np.flatnonzero(~at["visitor"])
+        own = np.flatnonzero(~at["guest"])
         if len(np.unique(at["comp"])) < 2:
             return
         for i in own:
@@ -221,6 +297,7 @@ def _candidates(members: DataFrame, nodes: DataFrame, most: int, num: int, den:
 
         def out(t: pa.Table) -> pa.RecordBatch:
             at = {c: t.column(c).to_numpy() for c in cols}
+            at["guest"] = at["guest"].astype(bool)
             pooled = _pooled(t.column("pooled").combine_chunks())
             cut = np.flatnonzero((at["key"][1:] != at["key"][:-1]) | (at["part"][1:] != at["part"][:-1])) + 1
             rows = [r for lo, hi in zip([0, *cut], [*cut, t.num_rows], strict=True) for r in pairs({c: v[lo:hi] for c, v in at.items()}, pooled[lo:hi])]
@@ -238,7 +315,7 @@ def _candidates(members: DataFrame, nodes: DataFrame, most: int, num: int, den:
         if rest is not None:
             yield out(rest)
 
-    dealt = _parts(members, nodes).repartition("key", "part").sortWithinPartitions("key", "part")
+    dealt = cells.join(nodes.select(F.col("doc_id").alias("node"), "n", "pooled"), "node").select(*cols, "pooled").repartition("key", "part").sortWithinPartitions("key", "part")
     return dealt.mapInArrow(run, "a long, b long, held boolean")
 
 
@@ -251,7 +328,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     same = written(light.where("n > 0 and doc_id is not null").groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("node")), "same")
     extra = written(light.join(same, ["n", "sig1", "sig2"]).where("doc_id != node").select("doc_id").distinct(), "extra")
     nodes = all_points.where("n > 0 and doc_id is not null").join(extra, "doc_id", "left_anti")
-    rows = nodes.select(F.col("doc_id").alias("node"), F.explode("pivots").alias("key"))
+    window = F.col("n") - F.call_function("div", F.col("n") * num + (den - 1), F.lit(den).cast("long")) + 1
+    rows = nodes.select(F.col("doc_id").alias("node"), F.explode(F.slice("pivots", F.lit(1), window.cast("int"))).alias("key"))
     # A written count has a shuffle of its own in the join, so a crowded key's rows can be split there.
     found = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min("node").alias("pivot")).where("cnt > 1"), "found")
     regions = written(rows.join(found, "key"), "regions")
@@ -261,7 +339,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     comps = connected_components(links)
     most = 16
     while True:
-        offered = written(_candidates(_apart(regions, comps), nodes, most, num, den), "offered")
+        cells = written(_split(_apart(regions, comps), nodes, num, den), "split")
+        offered = written(_candidates(cells, nodes, most, num, den), "offered")
         pairs = offered.where("not held").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():

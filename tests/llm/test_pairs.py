@@ -76,15 +76,34 @@ def near_copies(seed, n=220):
     return rows + [(n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, "a b"), (n + 4, "A B"), (n + 5, "a b c")]
 
 
-@pytest.mark.parametrize(("seed", "part", "crowd", "k", "num"), [(1, 2000, 32, 4, 85), (2, 5, 3, 4, 85), (3, 8, 1, 5, 80)])
+@pytest.mark.parametrize(("seed", "part", "crowd", "k", "num"), [(1, 2000, 32, 4, 85), (2, 5, 3, 4, 85), (3, 8, 1, 5, 80), (4, 4, 1 << 30, 5, 80)])
 def test_jaccard_components(spark, monkeypatch, seed, part, crowd, k, num):
     monkeypatch.setattr(jaccard, "PART", part)
+    monkeypatch.setattr(jaccard, "CELLS", 3 if seed == 2 else 6)
+    monkeypatch.setattr(jaccard, "GROWTH", 1.2 if seed == 4 else 3)
     monkeypatch.setattr(jaccard, "CROWD", crowd)
     rows = near_copies(seed)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(frame(spark, rows, True), k, num, 100).collect()}
     assert got == brute_components(rows, k, num, 100)
 
 
+@pytest.mark.parametrize(("n_shared", "crowd"), [(6, 1 << 40), (40, 1 << 40), (40, 32)])
+def test_unlike_documents_of_one_region(spark, monkeypatch, n_shared, crowd):
+    """Documents that share a passage but nothing else: no member may visit every cell, and none links."""
+    n, seen = 1500, []
+    monkeypatch.setattr(jaccard, "PART", 50)
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    whole = jaccard._split
+    monkeypatch.setattr(jaccard, "_split", lambda *args: seen.append(whole(*args)) or seen[-1])
+    text = F.concat_ws(" ", F.lit(" ".join(f"s{i}" for i in range(n_shared))), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: F.hash("id", i).cast("string")), " "))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"))
+    copies = docs.where("doc_id % 100 = 0").select((F.col("doc_id") + n).alias("doc_id"), F.concat("text", F.lit(" more")).alias("text"))
+    got = jaccard.jaccard_components(docs.unionByName(copies), 4, 85, 100).where("doc_id != component_id").collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(n + i, i) for i in range(0, n, 100)}
+    if n_shared == 6 or crowd == 32:
+        assert seen[0].groupBy("key", "part").count().agg(F.max("count")).first()[0] in (None, *range(51))
+
+
 def test_jaccard_nulls_repeats_and_none(spark):
     rows = [(7, "a b c d e"), (7, "a b c d e"), (None, "a b c d e"), (9, "A b c d e")]
     got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(frame(spark, rows), 4, 85, 100).collect())
