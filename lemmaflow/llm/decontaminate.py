@@ -4,23 +4,26 @@ Benchmark items are cut into pieces of at most ``PIECE`` words and documents int
 passages of twice that, half overlapping, so each stretch of a piece's length
 lies whole in a passage. The steps:
 
-1. Document frequencies of the benchmark's words, over all documents; a word in
-   at most one document of ``RARE`` is telling.
-2. Passages that could match: a match shares ``TELLING`` of a piece's telling
-   words, so a passage with fewer telling words than any piece asks for is out,
-   exactly. The others are written once, a small table.
-3. A distributed randomised SVD of the TF-IDF matrix (words in more than one
-   document of ``STOP`` left out) of these passages and, at equal weight, of the
-   pieces: tasks sum ``A^T A Q`` and the driver holds only
-   matrices of vocabulary times rank.
-4. Cosine search in the latent space: pieces against all passages of the table.
+1. Document frequencies of the benchmark's words, over all documents; a word weighs
+   its inverse document frequency, and nothing in more than one document of ``STOP``.
+2. Passages that could match: a match holds ``MASS`` of a piece's weight, so a passage
+   that weighs less than any piece asks for is out, exactly. The others are written
+   once, as places in the vocabulary.
+3. A distributed randomised SVD of the TF-IDF matrix of these passages (of those that
+   tile the texts) and, at equal weight, of the pieces: tasks sum ``A^T A Q`` and the driver holds only matrices of
+   vocabulary times rank.
+4. Cosine search in the latent space: pieces against all passages of the table. A piece
+   of fewer than ``SHORT`` words is a small part of any passage's vector; for those the
+   candidates are all passages that hold ``MASS`` of their weight, from an inverted list.
 5. Candidates are verified: the longest common subsequence with the piece, in
    order, and the share of the piece's answer (its last sentence) that the
    passage holds. ``LCS`` of the words is a copy; ``LCS_LOOSE`` with ``ANSWER``
-   of the answer is a paraphrase.
+   of the answer is a paraphrase. Either holds ``MASS`` of the piece's weight, so that
+   common words alone make no match.
 
-The benchmark is a stated query set, taken in blocks of at most ``BLOCK_ITEMS``
-items; only one block's words are sent to the tasks at a time.
+The benchmark is a stated query set, taken in blocks of at most ``BLOCK_WORDS`` words
+(or one longer item); only one block's vocabulary, and matrices of that height, are
+held by a task or the driver at a time.
 
 Edge cases: null and empty texts, and items of fewer than ``LEAST_WORDS`` different words, match nothing; equal items each match;
 rows with one doc_id give one result per item, those with a null doc_id too, under
@@ -42,12 +45,12 @@ from pyspark.sql import functions as F
 from .store import written
 from .text import Block, as_strings, blocks
 
-PIECE, RARE, STOP, TELLING = 48, 200, 20, 0.4
+PIECE, STOP, MASS, SHORT = 48, 20, 0.4, 20
 #: An item of fewer different words can't be told from chance and matches nothing.
 LEAST_WORDS = 3
 LCS, LCS_LOOSE, ANSWER = 0.6, 0.45, 0.8
 RANK, EXTRA, COSINE = 128, 16, 0.3
-BLOCK_ITEMS = 20_000
+BLOCK_WORDS = 60_000
 _TRIM = np.zeros(256, bool)
 _TRIM[[ord(c) for c in ".,;:!?\"'()[]#*$%&|<>_-"]] = True
 
@@ -135,27 +138,31 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int,
     return int(out[size]), out[:size]
 
 
-def possible_passages(docs: DataFrame, vocabulary: np.ndarray, telling: np.ndarray, least: int) -> DataFrame:
-    """(doc_id, words) of passages with ``least`` telling words or more; words: places in the vocabulary, -1 for others."""
+def possible_passages(docs: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, least: float) -> DataFrame:
+    """(doc_id, words, tile) of passages that weigh ``least`` or more; words: places in the vocabulary, -1 for others.
+
+    Tiles are every second passage and a text's last: they cover each word, and overlap at the end only."""
+    weight = np.append(idf, 0).astype(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
             for block in folded(batch.column("text")):
                 at = places_in(vocabulary, trimmed(block))
-                sums = np.concatenate([[0], np.cumsum(telling[at] & (at >= 0))])
+                sums = np.concatenate([[0], np.cumsum(weight[at])])
                 n = np.maximum(1, -(-(block.n_words - PIECE) // PIECE)) * (block.n_words > 0)
                 doc = np.repeat(np.arange(block.n), n)
                 nth = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                tile = (nth % 2 == 0) | np.append(doc[1:] != doc[:-1], np.ones(min(1, len(doc)), bool))
                 lo = block.first_word[doc] + nth * PIECE
                 hi = np.minimum(lo + 2 * PIECE, block.first_word[doc + 1])
-                keep = np.flatnonzero(sums[hi] - sums[lo] >= least)
+                keep = np.flatnonzero((sums[hi] - sums[lo] >= least) & (hi > lo))
                 lo, hi = lo[keep], hi[keep]
                 ends = np.concatenate([[0], np.cumsum(hi - lo)])
                 flat = np.arange(ends[-1]) - np.repeat(ends[:-1] - lo, hi - lo)
-                yield pa.RecordBatch.from_pydict({"doc_id": ids.take(pa.array(block.lo + doc[keep])), "words": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at[flat], pa.int32()))})
+                yield pa.RecordBatch.from_pydict({"doc_id": ids.take(pa.array(block.lo + doc[keep])), "words": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at[flat], pa.int32())), "tile": pa.array(tile[keep])})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, words array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, words array<int>, tile boolean")
 
 
 @dataclass
@@ -251,54 +258,113 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def _matches(passages: DataFrame, pieces: Pieces, idf: np.ndarray, telling: np.ndarray, basis: np.ndarray, cosine: float) -> DataFrame:
+def piece_mass(words: np.ndarray, idf: np.ndarray) -> float:
+    """What the different words of a piece weigh."""
+    return float(idf[np.unique(words)].sum(dtype=np.float64))
+
+
+def is_match(piece: np.ndarray, answer: np.ndarray, passage: np.ndarray, idf: np.ndarray) -> tuple[float, float] | None:
+    """The shares of the common subsequence and of the answer, if they make a match."""
+    here = np.unique(passage[passage >= 0])
+    own = np.unique(piece)
+    if idf[own[np.isin(own, here)]].sum(dtype=np.float64) < MASS * piece_mass(piece, idf) - 1e-6:
+        return None
+    share = common_subsequence(piece, passage) / len(piece)
+    told = float(np.isin(answer, here).mean())
+    return (share, told) if share >= LCS or share >= LCS_LOOSE and told >= ANSWER else None
+
+
+@dataclass
+class ShortPieces:
+    """Inverted lists of pieces of few words: for each word of the vocabulary its pieces and its share of their weight."""
+
+    pieces: np.ndarray
+    begin: np.ndarray
+    piece: np.ndarray
+    share: np.ndarray
+
+    @classmethod
+    def of(cls, pieces: Pieces, idf: np.ndarray) -> ShortPieces:
+        short = [k for k, w in enumerate(pieces.words) if len(w) < SHORT]
+        lists = [np.unique(pieces.words[k]) for k in short]
+        word = np.concatenate([np.zeros(0, np.int64), *lists])
+        piece = np.repeat(np.arange(len(short)), [len(x) for x in lists])
+        mass = np.array([piece_mass(x, idf) for x in lists])
+        some = np.flatnonzero(idf[word] > 0)
+        some = some[np.argsort(word[some], kind="stable")]
+        word, piece = word[some], piece[some]
+        return cls(np.array(short, np.int64), np.searchsorted(word, np.arange(len(idf) + 1)), piece, idf[word] / np.maximum(mass[piece], 1e-12) if len(word) else np.zeros(0))
+
+    def found(self, rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+        """(row, piece) of rows that hold ``MASS`` of a piece's weight; a row has each of its words once."""
+        if not len(self.pieces):
+            return self.pieces, self.pieces
+        n = self.begin[rows.word + 1] - self.begin[rows.word]
+        flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.begin[rows.word], n)
+        key, back = np.unique(np.repeat(rows.row, n) * len(self.pieces) + self.piece[flat], return_inverse=True)
+        key = key[np.bincount(back, self.share[flat], minlength=len(key)) >= MASS - 1e-6]
+        return key // len(self.pieces), self.pieces[key % len(self.pieces)]
+
+
+def _matches(passages: DataFrame, pieces: Pieces, idf: np.ndarray, basis: np.ndarray, cosine: float) -> DataFrame:
     def unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
     ends = np.concatenate([[0], np.cumsum([len(w) for w in pieces.words])])
     latent = unit(tf_idf(ends, np.concatenate(pieces.words), idf).times(basis))
-    hints = [np.unique(w[telling[w]]) for w in pieces.words]
+    short = ShortPieces.of(pieces, idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
             at, found = [], []
             for lo, cuts, words in _slices(batch):
-                near = unit(tf_idf(cuts, words, idf).times(basis)) @ latent.T
-                for p, k in zip(*np.nonzero(near >= cosine), strict=True):
-                    passage, piece, answer = words[cuts[p] : cuts[p + 1]], pieces.words[k], pieces.answers[k]
-                    here = set(passage.tolist())
-                    if sum(w in here for w in hints[k].tolist()) < TELLING * len(hints[k]):
-                        continue
-                    share = common_subsequence(piece, passage) / len(piece)
-                    told = sum(w in here for w in answer.tolist()) / len(answer)
-                    if share >= LCS or share >= LCS_LOOSE and told >= ANSWER:
+                rows = tf_idf(cuts, words, idf)
+                near = unit(rows.times(basis)) @ latent.T
+                also = np.zeros(near.shape, bool)
+                also[short.found(rows)] = True
+                for p, k in zip(*np.nonzero((near >= cosine) | also), strict=True):
+                    got = is_match(pieces.words[k], pieces.answers[k], words[cuts[p] : cuts[p + 1]], idf)
+                    if got:
                         at.append(lo + int(p))
-                        found.append((int(pieces.items[k]), float(near[p, k]), share, told))
+                        found.append((int(pieces.items[k]), float(near[p, k]), *got))
             cols = list(zip(*found, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_pydict({"doc_id": ids.take(pa.array(at, pa.int64())), "item_id": pa.array(cols[0], pa.int64()), "cosine": pa.array(cols[1], pa.float64()), "lcs_share": pa.array(cols[2], pa.float64()), "answer_share": pa.array(cols[3], pa.float64())})
 
     return passages.mapInArrow(run, "doc_id long, item_id long, cosine double, lcs_share double, answer_share double")
 
 
+def item_blocks(items: Iterator[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+    """Items in blocks of at most ``BLOCK_WORDS`` words, or one longer item."""
+    block: list[tuple[int, str]] = []
+    size = 0
+    for item, text in items:
+        n = len(text.split())
+        if block and size + n > BLOCK_WORDS:
+            yield block
+            block, size = [], 0
+        block.append((item, text))
+        size += n
+    if block:
+        yield block
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float = COSINE) -> DataFrame:
     """(doc_id, item_id) with the best cosine, lcs_share and answer_share, one row per leaked item of a document."""
     schema = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
     found = docs.sparkSession.createDataFrame([], schema)
-    block: list[tuple[int, str]] = []
     ordered = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator()
-    while block := [(r[0], r[1]) for _, r in zip(range(BLOCK_ITEMS), ordered, strict=False)]:
+    for block in item_blocks((r[0], r[1]) for r in ordered):
         pieces = cut(block)
         if not len(pieces.items):
             continue
         n, df = document_frequencies(docs, pieces.vocabulary)
-        telling = df <= max(2, n // RARE)
         idf = weights_of(pieces, n, df)
-        least = min(int(np.ceil(TELLING * len(np.unique(w[telling[w]])))) for w in pieces.words)
-        passages = written(possible_passages(docs, pieces.vocabulary, telling, least), "passages")
+        least = MASS * min(piece_mass(w, idf) for w in pieces.words) - 1e-3
+        passages = written(possible_passages(docs, pieces.vocabulary, idf, least), "passages")
         ends = np.concatenate([[0], np.cumsum([len(w) for w in pieces.words])])
-        basis = latent_basis(passages, tf_idf(ends, np.concatenate(pieces.words), idf), idf, min(rank, len(idf)))
-        found = found.union(_matches(passages, pieces, idf, telling, basis, cosine))
+        basis = latent_basis(passages.where("tile"), tf_idf(ends, np.concatenate(pieces.words), idf), idf, min(rank, len(idf)))
+        found = found.union(_matches(passages, pieces, idf, basis, cosine))
     return found.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs_share").alias("lcs_share"), F.max("answer_share").alias("answer_share"))
 
 

@@ -84,6 +84,46 @@ def test_decontamination(spark):
     assert decontaminate.leaks(df.limit(0), bench).collect() == [] and decontaminate.leaks(df, bench.limit(0)).collect() == []
 
 
+def reworded(rng, words):
+    """A third of the words replaced or left out, some neighbours swapped."""
+    out = [rng.choice(invented(rng, 1)) if rng.random() < 0.25 else w for w in words if rng.random() > 0.08]
+    for i in range(0, len(out) - 1, 9):
+        out[i], out[i + 1] = out[i + 1], out[i]
+    return out
+
+
+def test_recall_on_rewordings(spark, monkeypatch):
+    """Latent search against a brute-force check of every passage and piece, short items among them."""
+    rng = random.Random(13)
+    items = [(i, " ".join(invented(rng, rng.choice([4, 6, 9, 16, 30, 70]))) + ". " + " ".join(invented(rng, 6)) + ".") for i in range(60)]
+    rows, planted = [], set()
+    for d in range(500):
+        w = invented(rng, rng.choice([60, 200, 500]))
+        if d % 3 == 0:
+            i = d // 3 % 60
+            at = rng.randrange(len(w))
+            w = w[:at] + (items[i][1].split() if d % 2 else reworded(rng, items[i][1].split())) + w[at:]
+            if d % 2:
+                planted.add((d, i))
+        rows.append((d, " ".join(w)))
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, bench).collect()}
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 600)  # several blocks
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, bench).collect()}
+    pieces = decontaminate.cut(items)
+    n, df_ = decontaminate.document_frequencies(df, pieces.vocabulary)
+    idf = decontaminate.weights_of(pieces, n, df_)
+    brute = set()
+    for d, text in rows:
+        w = decontaminate.places_in(pieces.vocabulary, decontaminate.word_hashes(text))
+        for lo in range(0, max(1, len(w) - 48), 48):
+            passage = w[lo : lo + 96]
+            brute |= {(d, int(i)) for i, piece, answer in zip(pieces.items, pieces.words, pieces.answers, strict=True) if decontaminate.is_match(piece, answer, passage, idf)}
+    assert planted <= whole and planted <= got
+    assert len(brute - planted) > 40 and len(whole & brute) >= 0.9 * len(brute) and whole <= brute
+    assert len(got & brute) >= 0.9 * len(brute)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_common_subsequence(seed):
     rng = random.Random(seed)
