@@ -13,8 +13,9 @@ lies whole in a passage. The steps:
    tile the texts) and, at equal weight, of the pieces: tasks sum ``A^T A Q`` and the driver holds only matrices of
    vocabulary times rank.
 4. Cosine search in the latent space: pieces against all passages of the table. A piece
-   of fewer than ``SHORT`` words is a small part of any passage's vector; for those the
-   candidates are all passages that hold ``MASS`` of their weight, from an inverted list.
+   of fewer than ``SHORT`` words is a small part of any passage's vector; for those all
+   passages are candidates. Inverted lists tell which candidates hold ``MASS`` of a
+   piece's weight.
 5. Candidates are verified: the longest common subsequence with the piece, in
    order, and the share of the piece's answer (its last sentence) that the
    passage holds. ``LCS`` of the words is a copy; ``LCS_LOOSE`` with ``ANSWER``
@@ -275,35 +276,31 @@ def is_match(piece: np.ndarray, answer: np.ndarray, passage: np.ndarray, idf: np
 
 
 @dataclass
-class ShortPieces:
-    """Inverted lists of pieces of few words: for each word of the vocabulary its pieces and its share of their weight."""
+class Postings:
+    """Inverted lists: for each word of the vocabulary its pieces and its share of their weight."""
 
-    pieces: np.ndarray
+    n: int
     begin: np.ndarray
     piece: np.ndarray
     share: np.ndarray
 
     @classmethod
-    def of(cls, pieces: Pieces, idf: np.ndarray) -> ShortPieces:
-        short = [k for k, w in enumerate(pieces.words) if len(w) < SHORT]
-        lists = [np.unique(pieces.words[k]) for k in short]
-        word = np.concatenate([np.zeros(0, np.int64), *lists])
-        piece = np.repeat(np.arange(len(short)), [len(x) for x in lists])
+    def of(cls, pieces: Pieces, idf: np.ndarray) -> Postings:
+        lists = [np.unique(w) for w in pieces.words]
+        word, piece = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         mass = np.array([piece_mass(x, idf) for x in lists])
         some = np.flatnonzero(idf[word] > 0)
         some = some[np.argsort(word[some], kind="stable")]
         word, piece = word[some], piece[some]
-        return cls(np.array(short, np.int64), np.searchsorted(word, np.arange(len(idf) + 1)), piece, idf[word] / np.maximum(mass[piece], 1e-12) if len(word) else np.zeros(0))
+        return cls(len(lists), np.searchsorted(word, np.arange(len(idf) + 1)), piece, idf[word] / np.maximum(mass[piece], 1e-12))
 
-    def found(self, rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+    def held(self, rows: Rows) -> tuple[np.ndarray, np.ndarray]:
         """(row, piece) of rows that hold ``MASS`` of a piece's weight; a row has each of its words once."""
-        if not len(self.pieces):
-            return self.pieces, self.pieces
         n = self.begin[rows.word + 1] - self.begin[rows.word]
         flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.begin[rows.word], n)
-        key, back = np.unique(np.repeat(rows.row, n) * len(self.pieces) + self.piece[flat], return_inverse=True)
+        key, back = np.unique(np.repeat(rows.row, n) * self.n + self.piece[flat], return_inverse=True)
         key = key[np.bincount(back, self.share[flat], minlength=len(key)) >= MASS - 1e-6]
-        return key // len(self.pieces), self.pieces[key % len(self.pieces)]
+        return key // self.n, key % self.n
 
 
 def _matches(passages: DataFrame, pieces: Pieces, idf: np.ndarray, basis: np.ndarray, cosine: float) -> DataFrame:
@@ -312,7 +309,7 @@ def _matches(passages: DataFrame, pieces: Pieces, idf: np.ndarray, basis: np.nda
 
     ends = np.concatenate([[0], np.cumsum([len(w) for w in pieces.words])])
     latent = unit(tf_idf(ends, np.concatenate(pieces.words), idf).times(basis))
-    short = ShortPieces.of(pieces, idf)
+    postings, short = Postings.of(pieces, idf), np.array([len(w) < SHORT for w in pieces.words])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,9 +318,10 @@ def _matches(passages: DataFrame, pieces: Pieces, idf: np.ndarray, basis: np.nda
             for lo, cuts, words in _slices(batch):
                 rows = tf_idf(cuts, words, idf)
                 near = unit(rows.times(basis)) @ latent.T
-                also = np.zeros(near.shape, bool)
-                also[short.found(rows)] = True
-                for p, k in zip(*np.nonzero((near >= cosine) | also), strict=True):
+                # What a match must hold is tested for all candidates at once, before they are taken one by one.
+                row, piece = postings.held(rows)
+                some = (near[row, piece] >= cosine) | short[piece]
+                for p, k in zip(row[some], piece[some], strict=True):
                     got = is_match(pieces.words[k], pieces.answers[k], words[cuts[p] : cuts[p + 1]], idf)
                     if got:
                         at.append(lo + int(p))
