@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lemmaflow.llm import decontaminate, language_model, quality, template, toxicity, warc
-from lemmaflow.llm.attention import Attention, subwords
+from lemmaflow.llm.attention import Attention, padded, subwords
 from lemmaflow.llm.text import blocks
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -354,11 +354,13 @@ def test_attention_gradients():
     n = 50
     model = Attention.from_counts(rng.integers(0, 5, (n, n)).astype(float))
     model.weights["out"] = 0.3 * rng.standard_normal(model.weights["out"].shape).astype(np.float32)
-    ids, first = rng.integers(0, n, 31), np.array([0, 30])
-    start = np.array([0, 16])
-    loss = lambda: model.gradients(ids, start, np.full(2, 30))[0] / 30
-    grads = {k: v / 30 for k, v in model.gradients(ids, start, np.full(2, 30))[2].items()}
-    assert all(np.allclose(v / 30, grads[k]) for k, v in model.gradients(ids, start, np.full(2, 30), False)[2].items())
+    ids = rng.integers(0, n, 31)
+    here, target, where, _ = (x.reshape(-1, 16) if len(x) == 32 else x for x in padded(ids, np.array([0, 30]), 16))
+    real = np.isin(np.arange(32), where).reshape(-1, 16)
+    loss = lambda: model.gradients(here, target, real)[0] / 30
+    seen, grads = model.gradients(here, target, real)[1:]
+    grads = {k: v / 30 for k, v in grads.items()}
+    assert seen == 30 and all(np.allclose(v / 30, grads[k]) for k, v in model.gradients(here, target, real, False)[2].items())
     for name, at in (("out", (3, 4)), ("state", (int(ids[5]), 2)), ("q", (1, 2)), ("k", (2, 3)), ("v", (4, 5)), ("embed", (int(ids[9]), 1)), ("lag", (1,))):
         w = model.weights[name]
         old = w[at]
