@@ -48,5 +48,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     lost executor costs no recomputation of what came before."""
     small_batches(df.sparkSession)
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -66,6 +66,18 @@ def test_stages(spark, corpus):
     assert {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, folder).collect()} == {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in packed}
 
 
+def test_near_duplicates_of_shared_ids(spark):
+    """Rows that share a doc_id or have none are judged by their texts, the same way every time."""
+    rng = random.Random(3)
+    one, two, three = (" ".join(invented(rng, 40)) for _ in range(3))
+    rows = [(7, one), (7, two), (7, two), (None, two), (None, three), (9, one + " more"), (5, three), (None, None), (4, "")]
+    for parts in (1, 3):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = sorted(map(str, corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()))
+        expected = [(7, one), (7, two), (5, three), (None, None), (4, "")]
+        assert got == sorted(map(str, spark.createDataFrame(expected, "doc_id long, text string").collect()))
+
+
 def test_clashing_columns(spark, corpus):
     folder = corpus[0]
     docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "'k' as kept", "'n' as n_words", "'c' as component_id", "'r' as n_removed", "'t' as kept_text", "'l' as _leaky", "'s' as s1")
