@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from .. import vocab
 
 
-def split_by_proof_files(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Commits with proof files, and the rest by hash."""
+def split_by_proof_files(commits: DataFrame, unique: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Commits with proof files, and the rest: two filters over one scan.
+
+    Where a hash can stand on both sides (``unique`` false) the rest is by hash, which takes a join."""
     touched = commits.where(F.size("coq_files_changed") > 0)
+    if unique:
+        return touched, commits.where(F.coalesce(F.size("coq_files_changed"), F.lit(0)) <= 0)
     return touched, commits.join(touched.select("hash").distinct(), "hash", "left_anti")
 
 
@@ -19,6 +23,11 @@ def recombined(first: DataFrame, rest: DataFrame) -> DataFrame:
     return first.withColumn("_part", F.lit(0)).unionByName(rest.withColumn("_part", F.lit(1)))
 
 
+def restored(first: DataFrame, rest: DataFrame) -> DataFrame:
+    """The union in order: the first part, then the rest, each as it came in (``_pos``)."""
+    return recombined(first, rest).orderBy("_part", "_pos")
+
+
 def tactic_buckets(commits: DataFrame) -> DataFrame:
     """One row per bucket of a proof_add commit: its tactics, and its styles as style_*; a commit stands in many."""
     buckets = F.concat(F.coalesce("tactic_tags", F.array().cast("array<string>")), F.transform(F.coalesce("proof_style", F.array().cast("array<string>")), lambda s: F.concat(F.lit("style_"), s)))

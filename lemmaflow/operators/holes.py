@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import vocab
 
@@ -31,33 +36,36 @@ def with_context(lines: DataFrame, keys: list[str], before: int = 3, after: int
     return lines.withColumn("context", F.array_join(F.collect_list("text").over(around), "\n"))
 
 
+_HOLE = T.StructType([T.StructField("line", T.IntegerType()), T.StructField("column", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("context", T.StringType()), T.StructField("enclosing_decl", T.StringType())])
+
+
+def holes_in(content: str, markers: Iterable[str], declaration: str, before: int = 3, after: int = 3) -> list[tuple[int, int, str, str, str]]:
+    """Line, column, kind, context and enclosing declaration of each hole, in one pass over the lines."""
+    lines, name, out = content.splitlines(), "", []
+    declared = re.compile(declaration)
+    marks = [(m.lower(), re.compile(rf"\b{m}\b")) for m in markers]
+    for i, line in enumerate(lines):
+        if (found := declared.search(line)) and found[1]:
+            name = found[1]
+        places = [(m.start(), kind) for kind, mark in marks for m in mark.finditer(line)]
+        if places:
+            context = "\n".join(lines[max(0, i - before) : i + after + 1])
+            out += [(i + 1, column, kind, context, name) for column, kind in places]
+    return out
+
+
 def found_holes(files: DataFrame, keys: list[str], markers: list[str] | tuple[str, ...], declaration: str, content: str = "content") -> DataFrame:
     """Every hole of files: keys, line, column (0-based), kind, context and enclosing_decl.
 
-    A file is one row, so all of it is array work within the row: no line is shuffled, and context and
-    declaration are made for lines with holes alone."""
-    cut = F.split(F.regexp_replace(F.col(content), rf"(?:{_BREAKS})\z", ""), _BREAKS)
-    name = vocab.java(declaration)
-    any_marker = rf"(?U)\b(?:{'|'.join(markers)})\b"
-
-    def places(text: F.Column, marker: str) -> F.Column:
-        # One pass over the texts before each match; a match begins after all of them and the markers between.
-        before = F.regexp_extract_all(text, F.lit(rf"(?U)(.*?)\b{marker}\b"), F.lit(1))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("columns"))
-        step = lambda s, t: F.struct((s["at"] + F.length(t) + len(marker)).alias("at"), F.concat(s["columns"], F.array(s["at"] + F.length(t))).alias("columns"))
-        return F.transform(F.aggregate(before, start, step, lambda s: s["columns"]), lambda c: F.struct(c.alias("column"), F.lit(marker.lower()).alias("kind")))
-
-    def of_line(text: F.Column, i: F.Column) -> F.Column:
-        first = F.greatest(i - 2, F.lit(1))
-        around = F.array_join(F.slice(F.col("_lines"), first, i + 5 - first), "\n")
-        above = F.filter(F.slice(F.col("_names"), F.lit(1), i + 1), lambda d: d != "")
-        return F.struct((i + 1).alias("line"), F.concat(*[places(text, m) for m in markers]).alias("hits"), around.alias("context"), F.coalesce(F.try_element_at(above, F.lit(-1)), F.lit("")).alias("enclosing_decl"))
-
-    staged = files.where(F.coalesce(content, F.lit("")) != "").select(*keys, cut.alias("_lines"))
-    staged = staged.withColumn("_names", F.transform("_lines", lambda x: F.regexp_extract(x, name, 1)))
-    marked = F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(any_marker), of_line(x, i))), lambda x: x.isNotNull())
-    rows = staged.select(*keys, F.explode(marked).alias("l"))
-    return rows.select(*keys, "l.line", F.explode("l.hits").alias("h"), "l.context", "l.enclosing_decl").select(*keys, "line", "h.column", "h.kind", "context", "enclosing_decl")
+    The declaration above a line is carried on from line to line, which array expressions could only do at a
+    cost that grows with the square of the lines; so a file, one row, is read in an Arrow batch. No line is shuffled."""
+
+    @F.pandas_udf(T.ArrayType(_HOLE))
+    def holes(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: [dict(zip(_HOLE.names, h, strict=True)) for h in holes_in(t, markers, declaration)])
+
+    some = files.where(F.col(content).rlike(rf"(?U)\b(?:{'|'.join(markers)})\b"))
+    return some.select(*keys, F.explode(holes(F.col(content))).alias("h")).select(*keys, "h.*")
 
 
 def filled_holes(parent: DataFrame, child: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.proofs import declaration_has_hole
-
+from ..functions.proofs import open_declarations
 
 
 def proved_declarations(challenges: DataFrame, commits: DataFrame) -> DataFrame:
@@ -31,9 +30,9 @@ def history(proved: DataFrame, commits: DataFrame) -> DataFrame:
 def open_commits(walked: DataFrame, blobs: DataFrame) -> DataFrame:
     """Rows of a history whose file content still has a hole in the declaration. blobs: hash, file, content.
 
-    Contents are joined by the few distinct (commit, file) pairs; the check runs in Arrow batches on rows with content."""
-    joined = walked.join(blobs, ["hash", "file"]).where(F.coalesce("content", F.lit("")) != "")
-    return joined.where(declaration_has_hole("content", "declaration")).drop("content")
+    Each content is read once for all its open declarations; their names, not the contents, meet the history."""
+    names = blobs.where(F.coalesce("content", F.lit("")) != "").select("hash", "file", F.explode(open_declarations("content")).alias("declaration"))
+    return walked.join(names, ["hash", "file", "declaration"], "left_semi")
 
 
 def days_between(first: Column, last: Column) -> Column:

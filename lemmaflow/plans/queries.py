@@ -18,9 +18,12 @@ from ..operators import evaluation as E
 from ..operators import explore as Q
 from ..operators import holes as H
 from ..operators import lifecycle as L
+from ..operators import report as P_
 from ..sources import gitlog as G
 from ..sources import records as R
+from . import commands
 from . import views as V
+from .scratch import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -332,17 +335,16 @@ def explore_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- holes ---
-_HOLES_CTE = rf"""{V.LINES}, named as (select *, coalesce(last_value(nullif(regexp_extract(text, '{V.DECLARATION}', 1), '') ignore nulls) over (partition by doc_id order by line), '') as enclosing_decl,
+_HOLES_CTE = rf"""{V.LINES}, named as (select *, coalesce(last_value(nullif(regexp_extract(text, '{V.DECLARATION_SQL}', 1), '') ignore nulls) over (partition by doc_id order by line), '') as enclosing_decl,
  array_to_string(list(text) over (partition by doc_id order by line rows between 3 preceding and 3 following), chr(10)) as context from lines),
-hit as (select *, list_transform(regexp_extract_all(text, '(.*?)\b{V.MARKER}\b', 1), lambda x: length(x)) as steps from named),
+hit as (select *, list_transform(regexp_extract_all({V.PLAIN}, '(.*?)\b{V.MARKER}\b', 1), lambda x: length(x)) as steps from named),
 holes as (select doc_id, line::int as line, (list_sum(steps[:i])::bigint + (i - 1) * {len(V.MARKER)})::int as "column", '{V.MARKER}' as kind, context, enclosing_decl from (select *, unnest(range(1, len(steps) + 1)) as i from hit where len(steps) > 0))"""
 
 
-@query(f'with {_HOLES_CTE} select doc_id, line, "column", kind, enclosing_decl, length(context)::int as context_chars from holes')
+@query(f'with {_HOLES_CTE} select doc_id, line, "column", kind, enclosing_decl, context from holes')
 def find_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every marker with its column, declaration and context."""
-    out = H.found_holes(V.files(spark, sf_dir), ["doc_id"], (V.MARKER,), V.DECLARATION)
-    return out.select("doc_id", "line", "column", "kind", "enclosing_decl", F.length("context").alias("context_chars"))
+    return H.found_holes(V.files(spark, sf_dir), ["doc_id"], (V.MARKER,), V.DECLARATION)
 
 
 @query(f"""with {_HOLES_CTE}, p as (select doc_id // 2 as pair, * from holes where doc_id % 2 = 0), c as (select distinct doc_id // 2 as pair, enclosing_decl from holes where doc_id % 2 = 1)
@@ -355,18 +357,18 @@ def filled_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pair", "n_holes", F.col("holes_filled")[0]["line"].alias("first_line"))
 
 
-@query("select doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) as chunk from documents where lang = 'en'")
+@query("select doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) as chunk from documents")
 def line_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L5."""
     return H.line_slice(V.files(spark, sf_dir), ["doc_id"], 2, 4)
 
 
-@query(f"""with {V.LINES}, w as (select doc_id, line, array_to_string(list(text) over (partition by doc_id order by line rows between 6 preceding and 2 following), '|') as context, row_number() over (partition by doc_id order by line) as k from lines)
-select doc_id, length(context)::int as n from w where line = 2""")
+@query(f"""with {V.LINES}, w as (select doc_id, line, array_to_string(list(text) over (partition by doc_id order by line rows between 6 preceding and 2 following), chr(10)) as context, row_number() over (partition by doc_id order by line) as k from lines)
+select doc_id, context from w where line = 2""")
 def placeholder_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wider frame around one line."""
     lines = H.with_context(H.lines_of(V.files(spark, sf_dir), ["doc_id"]), ["doc_id"], 6, 2)
-    return lines.where("line = 2").select("doc_id", F.length("context").alias("n"))
+    return lines.where("line = 2").select("doc_id", "context")
 
 
 @query("select lang, source, count(*) as n_challenges, sum(len(string_split(text, chr(10))))::bigint as n_holes from documents group by grouping sets ((lang), (source), ())")
@@ -376,38 +378,85 @@ def challenge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupingSets([["lang"], ["source"], []], "lang", "source").agg(F.count(F.lit(1)).alias("n_challenges"), F.sum("h").alias("n_holes"))
 
 
-@query()
+_LINES_OF = "string_split(regexp_replace(coalesce(text, ''), '\n+$', ''), chr(10))"
+
+
+@query(f"""with l as (select doc_id, text, regexp_replace(coalesce(text, ''), '\n+$', '') as a, case when regexp_replace(coalesce(text, ''), '\n+$', '') = '' then [] else {_LINES_OF} end as ls from documents),
+m as (select *, len(ls) as n, least(len(ls), 3) as m from l)
+select doc_id, case when doc_id % 5 = 0 then '' else '--- a/text' || chr(10) || '+++ b/text' || chr(10) || '@@ -' || case m when 0 then '0,0' when 1 then n::varchar else (n - m + 1) || ',' || m end
+ || ' +' || case m when 0 then '1' else (n - m + 1) || ',' || (m + 1) end || ' @@' || chr(10) || array_to_string(list_transform(ls[n - m + 1:], lambda x: ' ' || x || chr(10)), '') || '+end ' || doc_id end as diff from m""")
 def diff_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unified diffs of pairs of texts."""
-    d = V.table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", F.col("text").alias("a"))
-    b = V.table(spark, sf_dir, "documents").where("doc_id % 2 = 1").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("b"))
-    return d.join(b, "doc_id").select("doc_id", unified_diff("a", "b", F.lit("text")).alias("diff"))
+    """Unified diffs of texts and the same texts with a line more; every fifth has none."""
+    before = F.regexp_replace(F.coalesce("text", F.lit("")), r"\n+\z", "")
+    more = F.concat(before, F.when(before == "", "").otherwise("\n"), F.format_string("end %d", "doc_id"))
+    d = V.table(spark, sf_dir, "documents").select("doc_id", before.alias("a"), F.when(F.col("doc_id") % 5 == 0, before).otherwise(more).alias("b"))
+    return d.select("doc_id", unified_diff("a", "b", F.lit("text")).alias("diff"))
 
 
 # --- proofs ---
-_PROOF = "Lemma a%1$d : x.\nProof.\n  intros. (* c. (* d. *) e. *)\n  induction n; { auto. }\n  rewrite (f \"q. r\").\n  lia. congruence.\nQed.\n\nLemma b : y.\nProof.\n  Admitted.\n"
+# Proofs are put together from sentences: comments within comments, strings, braces, bullets, repeated tactics.
+_COMMENTED = ("\n  intros (* c. (* d. *) e. *) x.", "\n  (* a. *) intros.")
+_BRACED, _OTHER = "\n  destruct n as [|m]; { auto; { trivial } }.", "\n  induction n as [|m]; { auto; { trivial } }."
+_QUOTED, _AUTO, _BULLET = '\n  rewrite (f "q. r (* x").', "\n  lia.", "\n  - auto."
+_TAIL = "\n\nLemma b : y.\nProof.\n  Admitted.\n"
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _steps_sql(repeats: str, braced: str) -> str:
+    pick = f"[case k % 3 when 1 then {_sql_text(_COMMENTED[0])} when 2 then {_sql_text(_COMMENTED[1])} end, case when k // 3 % 2 = 1 then {braced} end, case when k // 6 % 2 = 1 then {_sql_text(_QUOTED)} end]"
+    return f"list_filter(list_concat({pick}, list_transform(range({repeats}), lambda i: {_sql_text(_AUTO)}), [case when k // 12 % 2 = 1 then {_sql_text(_BULLET)} end]), lambda x: x is not null)"
+
+
+_PROOFS = f"""with o as (select o_orderkey as k, case o_orderkey % 5 when 0 then 'Admitted.' when 1 then 'Defined.' else 'Qed.' end as term from orders),
+p as (select *, {_steps_sql("k % 4", _sql_text(_BRACED))} as human, {_steps_sql("k // 7 % 4", f"case when k % 11 = 0 then {_sql_text(_OTHER)} else {_sql_text(_BRACED)} end")} as model from o),
+q as (select *, len(human) as n, least(k % 5, len(human)) as gone, 'Lemma a : x.' || chr(10) || 'Proof.' as head, list_distinct(list_filter(list_transform(human, lambda x: regexp_extract(x, '^\\s*([a-zA-Z_]\\w*)', 1)), lambda x: x <> '')) as names from p)"""
 
 
 def _proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = V.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 5).alias("n"))
-    human = F.format_string(_PROOF, F.col("n"))
-    model = F.replace(F.replace(human, F.lit("lia."), F.when(F.col("n") == 1, "omega.").otherwise("lia.")), F.lit("  rewrite"), F.when(F.col("n") == 2, "  auto.\n  rewrite").otherwise("  rewrite"))
-    return o.withColumns({"decl": F.concat(F.lit("a"), F.col("n").cast("string")), "human": human, "model": model})
+    k = F.col("o_orderkey")
+    digit = lambda by, of: F.floor(k / by) % of
+
+    def steps(repeats: F.Column, braced: F.Column) -> F.Column:
+        first = F.when(k % 3 == 1, _COMMENTED[0]).when(k % 3 == 2, _COMMENTED[1]).otherwise("")
+        return F.concat(first, F.when(digit(3, 2) == 1, braced).otherwise(""), F.when(digit(6, 2) == 1, _QUOTED).otherwise(""), F.repeat(F.lit(_AUTO), repeats.cast("int")), F.when(digit(12, 2) == 1, _BULLET).otherwise(""))
 
+    term = F.when(k % 5 == 0, "Admitted.").when(k % 5 == 1, "Defined.").otherwise("Qed.")
+    whole = lambda body: F.concat(F.lit("Lemma a : x.\nProof."), body, F.lit("\n"), term, F.lit(_TAIL))
+    human, model = steps(k % 4, F.lit(_BRACED)), steps(digit(7, 4), F.when(k % 11 == 0, _OTHER).otherwise(_BRACED))
+    return V.table(spark, sf_dir, "orders").select("o_orderkey", F.concat(human, F.lit("\n"), term).alias("body"), whole(human).alias("human"), whole(model).alias("model"))
 
-@query("""select o_orderkey, 5 as human_count, case when o_orderkey % 5 = 2 then 6 else 5 end as model_count, case when o_orderkey % 5 in (1, 2) then 1 else 0 end as distance, round(case when o_orderkey % 5 = 1 then 1 / 5 when o_orderkey % 5 = 2 then 1 / 6 else 0 end, 6)::double as normalized,
- round(2 / 5, 6)::double as automation, 3 as kinds, 1 as depth from orders""")
+
+@query(rf"""{_PROOFS}, d as (select *, abs(k % 4 - k // 7 % 4) + case when k // 3 % 2 = 1 and k % 11 = 0 then 1 else 0 end as distance from q)
+select k as o_orderkey, n::int as human_count, len(model)::int as model_count, distance::int as distance, round(case when greatest(n, len(model)) > 0 then distance / greatest(n, len(model)) else 0 end, 6)::double as normalized,
+ round(case when n > 0 then (k % 4) / n else 0 end, 6)::double as automation, len(names)::int as kinds, case when k // 3 % 2 = 1 then 2 else 0 end as depth, (length(array_to_string(human, '')) + 1 + length(term))::int as chars, (n + 1)::int as n_lines, term = 'Admitted.' as admitted from d""")
 def proof_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of two proofs, their metrics and distance."""
-    s = _proofs(spark, sf_dir).withColumns({"h": P.extract_sentences("human", "decl"), "m": P.extract_sentences("model", "decl")})
-    d = s.withColumns({"hm": P.proof_metrics(F.col("h")), "mm": P.proof_metrics(F.col("m")), "distance": P.edit_distance(P.tactic_names(F.col("h")), P.tactic_names(F.col("m")))})
-    return rounded(d.select("o_orderkey", F.col("hm.tactic_count").alias("human_count"), F.col("mm.tactic_count").alias("model_count"), "distance", P.normalized_distance(F.col("distance"), F.col("hm.tactic_count"), F.col("mm.tactic_count")).alias("normalized"), F.col("hm.automation_ratio").alias("automation"), F.col("hm.unique_tactic_types").alias("kinds"), F.col("hm.max_bullet_depth").alias("depth")))
+    s = _proofs(spark, sf_dir).withColumns({"h": P.extract_sentences("human", F.lit("a")), "m": P.extract_sentences("model", F.lit("a"))})
+    d = s.withColumns({"hm": P.proof_metrics(F.col("h")), "model_count": P.tactic_count(F.col("m")), "distance": P.edit_distance(P.tactic_names(F.col("h")), P.tactic_names(F.col("m")))})
+    normalized = P.normalized_distance(F.col("distance"), F.col("hm.tactic_count"), F.col("model_count"))
+    named = {"human_count": "tactic_count", "automation": "automation_ratio", "kinds": "unique_tactic_types", "depth": "max_bullet_depth", "chars": "proof_chars", "n_lines": "proof_lines", "admitted": "ends_with_admitted"}
+    return rounded(d.select("o_orderkey", "model_count", "distance", normalized.alias("normalized"), *[F.col(f"hm.{b}").alias(a) for a, b in named.items()]))
 
 
-@query()
+@query(rf"""{_PROOFS} select k as o_orderkey, case when k % 13 = 0 then null when gone = 0 then head || array_to_string(human, '') || chr(10) || term || {_sql_text(_TAIL)}
+ else head || array_to_string(human[:n - gone], '') || chr(10) || '  Admitted.' || chr(10) || {_sql_text(_TAIL)} end as content from q""")
 def remove_tactics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proofs with their last tactics removed."""
-    return _proofs(spark, sf_dir).select("o_orderkey", P.remove_last_tactics("human", "decl", F.col("n").cast("int")).alias("content"))
+    """Proofs with their last tactics removed; null where no declaration has the name."""
+    p = _proofs(spark, sf_dir)
+    found = P.extract_sentences(F.col("human"), F.when(F.col("o_orderkey") % 13 == 0, "missing").otherwise("a"))
+    return p.withColumn("s", found).select("o_orderkey", P.remove_last_tactics(F.col("human"), F.col("s"), (F.col("o_orderkey") % 5).cast("int")).alias("content"))
+
+
+@query(f"""{_PROOFS}, t as (select *, list_transform(human, lambda x: x[4:]) as xs from q), u as (select *, list_filter(range(1, len(xs) + 1), lambda i: not starts_with(xs[i], '(*')) as steps from t),
+v as (select *, steps[greatest(len(steps) - k % 5, 0) + 1:] as gone_at from u)
+select k as o_orderkey, array_to_string(list_append(list_transform(list_filter(range(1, len(xs) + 1), lambda i: not list_contains(gone_at, i)), lambda i: xs[i]), '  Admitted.'), chr(10)) as body, array_to_string(list_transform(gone_at, lambda i: xs[i]), '|') as removed from v""")
+def remove_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The removal that goes by steps and keeps what begins with a comment."""
+    cut = P.remove_last_steps(F.col("body"), (F.col("o_orderkey") % 5).cast("int"))
+    return _proofs(spark, sf_dir).select("o_orderkey", cut.alias("c")).select("o_orderkey", "c.body", F.array_join("c.removed", "|").alias("removed"))
 
 
 @query("select o_orderkey, replace('Lemma b : y.' || chr(10) || 'Proof.' || chr(10) || '  T.' || chr(10) || '  Qed.', 'T', 't' || (o_orderkey % 5)) as patched from orders")
@@ -417,12 +466,13 @@ def patch_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", X.patch_admitted(F.lit("Lemma b : y.\nProof.\n  Admitted.\n"), F.lit("Lemma b"), F.format_string("t%d.\nQed.", F.col("o_orderkey") % 5)).alias("patched"))
 
 
-@query("select o_orderkey, o_orderkey % 3 <> 1 as open from orders")
+@query("select o_orderkey, case o_orderkey % 6 when 0 then 'a' when 1 then 'b' when 2 then 'a,b' when 3 then 'c' else '' end as open from orders")
 def declarations_with_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A block runs to the first end, over later declarations too."""
-    o = V.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 3).alias("k"))
-    text = F.when(F.col("k") == 0, "Lemma a : x.\nProof.\nAdmitted.\n").when(F.col("k") == 1, "Lemma a : x.\nProof. auto. Qed.\nLemma b : y. Admitted.\n").otherwise("Lemma a : x.\nLemma b : y. admit. Qed.\n")
-    return o.select("o_orderkey", P.declaration_has_hole(text, F.lit("a")).alias("open"))
+    o = V.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 6).alias("k"))
+    texts = ("Lemma a : x.\nProof.\nAdmitted.\n", "Lemma a : x.\nProof. auto. Qed.\nLemma b : y. Admitted.\n", "Lemma a : x.\nLemma b : y. admit. Qed.\n", "Theorem c : x. (* sorry *) Qed.", None, "  Instance d : x.\nDefined. oops")
+    text = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("k") + 1).cast("int"))
+    return o.select("o_orderkey", F.array_join(P.open_declarations(text), ",").alias("open"))
 
 
 @query("""select o_orderkey, case when o_orderkey % 6 = 0 and o_orderkey % 4 = 0 then 'ADMITTED' when o_orderkey % 6 = 0 then 'PASS' when o_orderkey % 6 = 1 then 'TIMEOUT' when o_orderkey % 6 = 2 then 'ERROR' else 'FAIL' end as verdict,
@@ -435,11 +485,11 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "orders").select("o_orderkey", X.verdict(code, k % 4 == 0).alias("verdict"), reason.alias("reason"))
 
 
-@query("select doc_id, strlen(text) > 40 as cut from documents")
+@query("""with c as (select doc_id, text, list_max(list_filter(range(0, 41), lambda k: strlen(text[:k]) <= 40)) as k from documents)
+select doc_id, case when text is null then null when strlen(text) <= 40 then text else text[:k] || case when strlen(text[:k]) < 40 then '�' else '' end end as start from c""")
 def trimmed_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most so many bytes, split characters and all."""
-    d = V.table(spark, sf_dir, "documents").withColumn("t", X.first_bytes(F.col("text"), 40))
-    return d.select("doc_id", (F.col("t") != F.col("text")).alias("cut"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", X.first_bytes(F.col("text"), 40).alias("start"))
 
 
 @query("select s_suppkey, 'ax' || s_suppkey || ',classic' as names from supplier")
@@ -741,12 +791,18 @@ def enriched_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.enriched_timelines(t, known).select("declaration", "ordinal", "hash", "author", "insertions")
 
 
-@query()
+@query(f"""with {V.TURNS}, c as (select *, row_number() over (partition by conv_id order by date, turn, hash) as i from turns),
+b as (select conv_id, declaration, file, min(date) as first_date, max(date) as last_date, count(*) as n, list_sort(list_distinct(flatten(list(groups)))) as used,
+ string_agg('**Commit ' || i || '** (' || date[:10] || ')' || chr(10) || '- Hash: `' || hash[:12] || '`' || chr(10) || '- Author: unknown' || chr(10) || '- Subject: ' || role || chr(10) || '- Class: ' || role || chr(10)
+  || '- Net proof lines: ' || case when net >= 0 then '+' else '' end || net || chr(10) || case when len(tags) > 0 then '- Tactics: ' || array_to_string(list_sort(tags), ', ') || chr(10) else '' end, chr(10) order by i) as timeline from c group by conv_id, declaration, file)
+select declaration, '## Declaration: `' || declaration || '`' || chr(10) || '**File:** `' || file || '`' || chr(10) || '**Hole kind:** admitted' || chr(10) || '**First hole:** ' || first_date || chr(10) || '**Proof completed:** ' || last_date || chr(10)
+ || '**Days to prove:** ' || case when conv_id % 11 = 0 then -1 else conv_id % 50 end || chr(10) || '**Commits touching this proof:** ' || n || chr(10) || '**Top tactics used:** ' || chr(10) || '**Tactic groups:** ' || array_to_string(used, ', ') || chr(10) || chr(10)
+ || '### Commit Timeline' || chr(10) || chr(10) || timeline || chr(10) || 'Analyze this proof''s evolution. What does the trajectory reveal about the human proof engineering process?' as prompt from b""")
 def study_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One prompt per declaration, longest histories first."""
     t = V.timeline(spark, sf_dir)
-    timeline = F.transform("commit_timeline", lambda c: F.struct(c["date"].alias("date"), c["hash"].alias("hash"), F.lit("unknown").alias("author"), c["subject"].alias("subject"), F.lit("").alias("message_body"), c["commit_class"].alias("commit_class"), c["net_proof_lines"].alias("net_proof_lines"), c["tactic_tags"].alias("tactic_tags"), F.array().cast("array<string>").alias("proof_style")))
-    fields = {c: F.col(c) for c in ("declaration", "file", "hole_kind", "first_hole_date", "proof_complete_date", "days_to_prove", "n_commits_with_hole", "tactic_groups_used")} | {"timeline": timeline, "top_tactics": F.array().cast("array<string>")}
+    timeline = F.transform("commit_timeline", lambda c: F.struct(c["date"].alias("date"), c["hash"].alias("hash"), F.lit("unknown").alias("author"), c["subject"].alias("subject"), F.lit("").alias("message_body"), c["commit_class"].alias("commit_class"), c["net_proof_lines"].alias("net_proof_lines"), F.array_sort(c["tactic_tags"]).alias("tactic_tags"), F.array().cast("array<string>").alias("proof_style")))
+    fields = {c: F.col(c) for c in ("declaration", "file", "hole_kind", "first_hole_date", "proof_complete_date", "days_to_prove", "n_commits_with_hole")} | {"timeline": timeline, "top_tactics": F.array().cast("array<string>"), "tactic_groups_used": F.array_sort("tactic_groups_used")}
     return t.select("declaration", X.trajectory_prompt(fields).alias("prompt"))
 
 
@@ -780,11 +836,94 @@ def study_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.study_cards(_study(spark, sf_dir)).select("analysis.declaration", "analysis.complexity")
 
 
-@query()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query(f"select unnest([{', '.join(repr(t) for t in TABLES)}]) as id, true as has_bytes")
 def list_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of a folder with their sizes, contents unread."""
+    """Files of a folder, by name, with their sizes, contents unread; a table of many files counts once."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(sf_dir)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("id"), F.col("length").alias("bytes"))
+    named = files.select(F.regexp_extract("path", r"/([a-z]+)\.parquet(?:/[^/]*)?$", 1).alias("id"), "length")
+    return named.groupBy("id").agg((F.sum("length") > 0).alias("has_bytes"))
+
+
+# --- sinks, written and read back ---
+@query(f"with {V.COMMITS} select hash, case when insertions % 2 = 0 then message_body end as body, coq_files_changed[1] as path from commits")
+def sink_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: records as JSON lines in one file, nulls kept."""
+    c = V.commits(spark, sf_dir).select("hash", F.when(F.col("insertions") % 2 == 0, F.col("message_body")).alias("body"), F.try_element_at("coq_files_changed", F.lit(1)).alias("path"))
+    D.write_records(c, path := fresh_path(spark, "records"), single=True)
+    return spark.read.schema("hash string, body string, path string").json(path)
+
+
+@query("select o_orderkey, o_orderkey % 2 as batch from orders")
+def sink_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4: rows appended batch by batch."""
+    o, path = V.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 2).alias("batch")), fresh_path(spark, "appends")
+    for batch in (0, 1):
+        D.append_records(o.where(F.col("batch") == batch), path)
+    return spark.read.schema("o_orderkey long, batch long").json(path)
+
+
+@query("select 'slot' || conv_id % 7 as slot, conv_id, count(*) as n_messages, sum(length(coalesce(text, '')))::bigint as n_chars from conversations group by conv_id")
+def sink_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K9: transcripts by slot, one folder each."""
+    c = V.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")))).alias("messages"))
+    D.write_transcripts(c.withColumn("slot", F.concat(F.lit("slot"), (F.col("conv_id") % 7).cast("string"))), path := fresh_path(spark, "transcripts"))
+    back = spark.read.schema("conv_id long, messages array<struct<turn: long, role: string, text: string>>, slot string").json(path)
+    return back.select("slot", "conv_id", F.size("messages").cast("long").alias("n_messages"), F.aggregate("messages", F.lit(0).cast("long"), lambda s, m: s + F.length(m["text"])).alias("n_chars"))
+
+
+_GROUPED = "select n_regionkey, count(*) as n, avg(n_nationkey) as mean from nation group by 1"
+
+
+@query(f"""with g as ({_GROUPED}), l as (select n_regionkey + 2 as i, '| ' || n_regionkey || ' | ' || n || ' | ' || format('{{:.4f}}', mean) || ' |' as line from g)
+select * from l union all select 0, '| n_regionkey | n | mean |' union all select 1, '|---|---|---|'""")
+def render_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7: a small result as lines of Markdown."""
+    g = V.table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"), F.avg("n_nationkey").alias("mean")).orderBy("n_regionkey")
+    lines = P_.markdown_table(g, ["n_regionkey", "n", "mean"]).split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "i long, line string")
+
+
+@query(f"""with g as ({_GROUPED}) select n_regionkey + 3 as i, '  ' || n_regionkey || '  ' || n || '  ' || format('{{:.4f}}', mean) as line from g
+ union all select 0, '' union all select 1, 'NATIONS' union all select 2, repeat('-', 60)""")
+def render_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8: a small result as a titled block of text."""
+    g = V.table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"), F.avg("n_nationkey").alias("mean")).orderBy("n_regionkey")
+    return spark.createDataFrame(list(enumerate(P_.section("NATIONS", g).split("\n"))), "i long, line string")
+
+
+@query(f"with {V.RUNS} select mode, deletion_size, count(*) as n_total, (select count(*) from runs where deletion_size is not null) as n_total_runs from runs where deletion_size is not null group by mode, deletion_size")
+def summary_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: the summary of runs as one JSON document, read back."""
+    groups = E.group_summary(V.runs(spark, sf_dir))
+    text = P_.summary_json(P_.summary(groups, E.faithfulness(groups), E.drift_faithfulness(groups), E.baseline_against_agent(groups)))
+    schema = "n_total_runs long, groups array<struct<mode: string, deletion_size: int, n_total: long>>"
+    doc = spark.createDataFrame([(text,)], "text string").select(F.from_json("text", schema).alias("d"))
+    return doc.select("d.n_total_runs", F.explode("d.groups").alias("g")).select("g.*", "n_total_runs")
+
+
+@query("""select 'repo_' || h[:8] || '_' || sha256('repo_' || h[:12] || '_' || path)[:8] as task_id, path as file_path, case when k % 3 = 0 then 'a' else 'b' end as filled, k as o_orderkey
+ from (select o_orderkey as k, sha256(o_orderkey::varchar) as h, 'src/F' || o_orderkey || '.v' as path from orders) where k % 3 <> 1""")
+def mined_challenges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The challenges of all commits as one bag; commits in which no hole is filled give none."""
+    k = F.col("o_orderkey")
+    open_, closed = "Lemma a : x.\nProof.\nAdmitted.\n", "Lemma a : x.\nProof. auto. Qed.\n"
+    two, one = open_ + "Lemma b : y.\nProof.\n  admit.\nQed.\n", open_ + "Lemma b : y.\nProof.\n  auto.\nQed.\n"
+    side = lambda a, b, c: F.when(k % 3 == 0, a).when(k % 3 == 1, b).otherwise(c)
+    changes = V.table(spark, sf_dir, "orders").select(
+        F.sha2(k.cast("string"), 256).alias("commit_hash"), F.sha2((-k).cast("string"), 256).alias("parent_hash"), F.format_string("change %d", k).alias("commit_message"), F.format_string("src/F%d.v", k).alias("path"), F.lit("M").alias("status"),
+        side(open_, open_, two).alias("before"), side(closed, open_, one).alias("after"),
+    )
+    out = commands.mine(changes, "repo")
+    return out.select("task_id", "file_path", _joined_col(F.transform("holes_filled", lambda h: h["enclosing_decl"])).alias("filled"), F.regexp_extract("file_path", r"F(\d+)", 1).cast("long").alias("o_orderkey"))
+
+
+@query(f"with {V.COMMITS} select _pos as pos, hash, case when len(coq_files_changed) > 0 then 0 else 1 end as part from commits")
+def restored_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both parts again in the order they came in."""
+    return D.restored(*D.split_by_proof_files(V.commits(spark, sf_dir))).select(F.col("_pos").alias("pos"), "hash", F.col("_part").alias("part"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,14 +72,17 @@ commits as (select i as _pos, sha256(i::varchar) as hash, case when i % 97 = 0 t
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English texts as files."""
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.col("text").alias("content"))
+    """All texts as files."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
 
 
 # Line breaks of the texts are \n alone; a last empty line doesn't count.
 LINES = """lines as (select doc_id, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) as text, unnest(range(1, len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) + 1)) as line
- from documents where lang = 'en' and text <> '')"""
+ from documents where text <> '')"""
 DECLARATION = r"^\s*([A-Z]\w+)"
+#: The same where \w covers ASCII only, and a text in which other letters are ASCII ones, as long as before.
+DECLARATION_SQL = r"^\s*([A-Z][\p{L}\p{N}_]+)"
+PLAIN = r"regexp_replace(regexp_replace(text, '[^\x00-\x7F\p{L}\p{N}]', ' ', 'g'), '[^\x00-\x7F]', 'x', 'g')"
 MARKER = "the"
 
 

@@ -135,11 +135,31 @@ def test_sentences_property(text):
 PROOF = "Lemma a : x.\nProof.\n  intros.\n  lia.\nQed.\n"
 
 
-def test_remove_last():
-    assert P.without_last(PROOF, "a", 1) == "Lemma a : x.\nProof.\n  intros.\n  Admitted.\n\n"
-    assert P.without_last(PROOF, "a", 0) == PROOF
-    assert P.without_last(PROOF, "a", 99) == P.without_last(PROOF, "a", 2)
-    assert P.without_last(PROOF, "b", 1) is None
+def test_remove_last(spark):
+    cut = lambda text, name, n: one(spark, P.remove_last_tactics(F.col("c"), P.extract_sentences(F.col("c"), F.col("d")), F.col("n")), c=text, d=name, n=n)
+    assert cut(PROOF, "a", 1) == "Lemma a : x.\nProof.\n  intros.\n  Admitted.\n\n"
+    assert cut(PROOF, "a", 0) == PROOF
+    assert cut(PROOF, "a", 99) == cut(PROOF, "a", 2) == "Lemma a : x.\nProof.\n  Admitted.\n\n"
+    assert cut(PROOF, "b", 1) is None
+    assert cut("é" + PROOF, "a", 1) is None and cut("(*é*)\n" + PROOF, "a", 1) == "(*é*)\nLemma a : x.\nProof.\n  intros.\n  Admitted.\n\n"
+    assert cut("Lemma a : x.\nProof.\n\n\tlia. Qed. tail", "a", 1) == "Lemma a : x.\nProof.\n\tAdmitted.\n tail"
+
+
+def test_declared_names():
+    index = P.Index("Lemma a' : x.\nProof. one. Qed.\nLemma a : y.\nProof. two. Qed.\nLemma ab.\n")
+    assert [t for t, _, _ in index.sentences("a")] == [" one.", " Qed."]  # a name ends where its word does
+    assert index.sentences("ab") is None and index.sentences("b") is None
+
+
+def test_remove_last_steps(spark):
+    body = "\n  intros.\n  { (* note. *)\n split. }\n - auto. (f \"a \\\" b. c\").\nQed."
+    assert P.without_last_steps(body, 1) == ('intros.\n{ (* note. *)\n split.\n}\n - auto.\n  Admitted.', ['(f "a \\" b. c").'])
+    assert P.without_last_steps(body, 99)[0] == "  Admitted." and len(P.without_last_steps(body, 99)[1]) == 4
+    assert P.without_last_steps("a. (* c *) b. }", 1) == ("(* c *) b.\n}\n  Admitted.", ["a."])
+    assert P.without_last_steps("a. -. b. }. Defined. Qed.", 1) == ("a.\n-.\nb.\n  Admitted.", ["}."])
+    assert P.without_last_steps("", 3) == ("  Admitted.", []) and P.without_last_steps("a. Qed.", 0) == ("a.\n  Admitted.", [])
+    got = one(spark, P.remove_last_steps(F.col("c"), F.col("n")), c="a. b. Qed.", n=1)
+    assert (got["body"], got["removed"]) == ("a.\n  Admitted.", ["b."])
 
 
 def test_patch(spark):
@@ -178,11 +198,14 @@ def test_versions(spark):
     assert one(spark, X.detected_version(none, none, none, F.col("t")), t='COQ_VERSION="v8.9" COQ_PACKAGE="coq-8.9.1"') == "8.9.1"
 
 
-def test_holes_of_blocks():
-    assert P.has_hole("Lemma a : x. admit. Qed.", "a")
-    assert not P.has_hole("Lemma a : x. Qed. Admitted.", "a")
-    assert P.has_hole("Lemma a : x.\nLemma b : y. Admitted. End", "a")  # runs over the next declaration
-    assert not P.has_hole("", "a") and not P.has_hole(None, "a")
+def test_holes_of_blocks(spark):
+    open_ = lambda t: P.Index(t).open_names
+    assert open_("Lemma a : x. admit. Qed.") == ["a"]
+    assert open_("Lemma a : x. Qed. Admitted.") == []
+    assert open_("Lemma a : x.\nLemma b : y. Admitted. End") == ["a", "b"]  # a block runs over the next declaration
+    assert open_("Lemma a : x. Qed.\nLemma a : x. oops.") == ["a"] and open_("") == []
+    assert open_("Lemma a : AdmittedEnd. End") == []
+    assert one(spark, P.open_declarations(F.col("t")), t=None) == []
 
 
 def test_byte_size(spark):
