@@ -38,15 +38,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are told apart by a key of their own, so rows that share a doc_id, or have none, are judged by their texts;
     within one doc_id (nulls last) the text with the least hash stays. Texts without words link with nothing."""
-    keyed = store.written(docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("doc_id")), "keyed")
-    found = store.written(jaccard.jaccard_components(keyed.select("doc_id", F.col("_row.text").alias("text")), k=5, num=80, den=100), "components")
+    key = next(name for n in range(len(docs.columns) + 1) if (name := "_key" + "_" * n) not in docs.columns)
+    keyed = store.written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    found = store.written(jaccard.jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text"), k=5, num=80, den=100), "components").withColumnRenamed("doc_id", "_row")
     linked = store.written(found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id"), "linked")
-    light = keyed.select(F.col("doc_id").alias("_key"), F.col("_row.doc_id").alias("_id"), F.xxhash64("_row.text").alias("_hash"))
-    members = store.written(found.join(linked, "component_id").select("component_id", F.col("doc_id").alias("_key")).join(light, "_key"), "members")
-    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_hash", "_key"))["_key"].alias("_first"))
-    gone = store.written(members.join(first, "component_id").where("_key != _first").select("_key"), "gone")
-    kept = keyed.join(gone, F.col("doc_id") == F.col("_key"), "left_anti")
-    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    light = keyed.select(F.col(key).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    members = store.written(found.join(linked, "component_id").select("component_id", "_row").join(light, "_row"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_hash", "_row"))["_row"].alias("_first"))
+    gone = store.written(members.join(first, "component_id").where("_row != _first").select(F.col("_row").alias(key)), "gone")
+    return keyed.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
