@@ -64,19 +64,19 @@ UNGROUPED = ["congr", "wlog", "without_loss", "reflect"]
 GROUP_OF = {t: g for g, ts in GROUPS.items() for t in ts}
 TACTICS = [*GROUP_OF, *UNGROUPED]
 
-# --- Fixed values: keywords of messages beyond the tactics ---
-STRUCTURE_WORDS = (
-    "sorry admitted admit oops lemma theorem corollary proposition remark fact definition example instance canonical global local section "
-    "module record proof qed defined abort end inductive push_ring iffP appP andP orP negP opaque transparent decide_eq boolean_reflect"
+# --- Fixed values: keywords of messages ---
+KEYWORDS = (
+    "sorry admitted admit oops lemma theorem corollary proposition remark fact definition example instance canonical global local section module record "
+    "proof qed defined abort end intro intros revert clear clearbody rename move destruct case case_eq induction inductive elim elimtype inversion inversion_clear "
+    "injection discriminate constructor econstructor left right split exists eexists rewrite erewrite setoid_rewrite rewrite_strat replace symmetry transitivity "
+    "etransitivity subst congruence apply eapply exact refine change convert rapply lapply specialize generalize instantiate pose remember set assert cut enough "
+    "have suff suffices auto eauto tauto intuition firstorder trivial easy decide btauto contradiction absurd exfalso omega lia lra nia nra psatz ring field "
+    "ring_simplify field_simplify norm_num zify push_cast pull_cast push_neg pull_neg simpl cbn cbv lazy vm_compute native_compute unfold fold red hnf compute "
+    "delta beta iota zeta simp ring_nf push_ring by done congr wlog without_loss reflect iffP appP andP orP negP exact_no_check assumption solve fail idtac repeat "
+    "try first do progress timeout once pattern abstract opaque transparent decide_eq boolean_reflect word wordring word_simpl cancel ring_simplify_subterms felem "
+    "montgomery barrett modular prime group curve lattice hash cipher signature elliptic edwards weierstrass twisted x25519 x448 p256 p384 p521 secp256k1 "
+    "curve25519 bedrock bedrock2 rupicola fiat crypto cryptographic protocol spec specification invariant postcondition precondition secp ecdsa ecdh rsa dh dsa"
 ).split()
-DOMAIN_WORDS = (
-    "word wordring word_simpl cancel ring_simplify_subterms felem montgomery barrett modular prime group curve lattice hash cipher signature "
-    "elliptic edwards weierstrass twisted x25519 x448 p256 p384 p521 secp256k1 curve25519 bedrock bedrock2 rupicola fiat crypto cryptographic "
-    "protocol spec specification invariant postcondition precondition secp ecdsa ecdh rsa dh dsa"
-).split()
-#: A tracked tactic that is no keyword.
-NOT_KEYWORDS = {"norm_cast"}
-KEYWORDS = [w for w in [*TACTICS, *STRUCTURE_WORDS, *DOMAIN_WORDS] if w not in NOT_KEYWORDS]
 
 # --- Fixed values: tactics that count as automation ---
 AUTOMATION = (
