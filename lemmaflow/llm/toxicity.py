@@ -219,8 +219,9 @@ def crc_remainder(column: str, n: int) -> F.Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: F.Column, max_positive: int, max_negative: int) -> list:
-    """At most the stated numbers of labelled rows (text, label), least digests of their ids first."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: F.Column, max_positive: int, max_negative: int, max_bytes: int) -> list:
+    """At most the stated numbers of labelled rows (text, label), least digests of their ids first, and of these, in
+    that order, whole texts of at most ``max_bytes`` together (one at least)."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("_y")).where(may_learn)
     digest = F.xxhash64("doc_id", F.lit(20240229))
     chosen = None
@@ -230,12 +231,18 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: F.Column,
     rows = chosen.collect()
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["_y"], r["_d"]) for r in rows], "doc_id long, _y int, _d long")
     # The side to broadcast has at most max_positive + max_negative rows.
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").collect()
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    sizes = sorted((r["_d"], r["doc_id"], r["n"]) for r in found.groupBy("_d", "doc_id").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("n")).collect())
+    total = np.cumsum([n for _, _, n in sizes])
+    if len(sizes) and total[-1] > max_bytes:
+        last = max(1, int(np.searchsorted(total, max_bytes, "right")))
+        found = found.where(F.struct("_d", "doc_id") <= F.struct(F.lit(sizes[last - 1][0]).cast("long"), F.lit(sizes[last - 1][1]).cast("long")))
+    found = found.collect()
     return sorted(((r["_d"], r["doc_id"], r["text"] or "", r["_y"]) for r in found))
 
 
-def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", may_learn: F.Column | None = None, max_positive: int = 3000, max_negative: int = 6000, epochs: int = 10, threshold: float = 0.7, seed: int = 7) -> Convolutional:
-    rows = sample(docs, labels, label, F.lit(True) if may_learn is None else may_learn, max_positive, max_negative)
+def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", may_learn: F.Column | None = None, max_positive: int = 3000, max_negative: int = 6000, max_bytes: int = 64 << 20, epochs: int = 10, threshold: float = 0.7, seed: int = 7) -> Convolutional:
+    rows = sample(docs, labels, label, F.lit(True) if may_learn is None else may_learn, max_positive, max_negative, max_bytes)
     model = Convolutional(seed)
     y_all = np.array([r[3] for r in rows], np.float64)
     if not len(y_all) or y_all.min() == y_all.max():

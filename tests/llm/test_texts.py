@@ -16,7 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lemmaflow.llm import decontaminate, language_model, quality, template, toxicity, warc
+from lemmaflow.llm import decontaminate, jaccard, language_model, quality, substring, template, toxicity, warc
 from lemmaflow.llm.attention import Attention, padded, subwords
 from lemmaflow.llm.text import blocks
 
@@ -172,6 +172,8 @@ def test_toxicity(spark):
     assert len(out) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in out)
     held = [(r["predicted"], r["doc_id"] % 4 == 0) for r in out if r["doc_id"] is not None and r["doc_id"] < 900 and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
     assert sum(p == t for p, t in held) >= 0.95 * len(held)
+    few = toxicity.sample(docs, labelled, "toxic", learns, 3000, 6000, 20_000)
+    assert 0 < sum(len(r[2].encode()) for r in few) <= 20_000 and few == toxicity.sample(docs, labelled, "toxic", learns, 3000, 6000, 1 << 30)[: len(few)]
     flat = toxicity.scored(docs, toxicity.trained(docs, labelled.limit(0))).collect()
     assert len({r["score"] for r in flat}) == 1
     assert toxicity.scored(docs.limit(0), toxicity.Convolutional()).collect() == []
@@ -400,3 +402,25 @@ def test_scanner_skips_false_magic():
     for cut in range(0, len(data), 13):
         found = [warc.parsed(m.data)["page_id"] for lo, hi in ((0, cut), (cut, len(data))) for m in warc.Scanner(pa.BufferReader(data), lo, hi)]
         assert found == [1, 2]
+
+
+def test_very_long_texts(spark):
+    """Two near copies of 150,000 words among short texts, through each operator."""
+    rng = random.Random(21)
+    long = invented(rng, 150_000)
+    other = [*long[:70_000], "changed", *long[70_001:]]
+    rows = [(1, " ".join(long)), (2, " ".join(other)), *((10 + i, " ".join(invented(rng, 60))) for i in range(20))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    comps = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs, 4, 85, 100).collect()}
+    assert comps[2] == 1 and all(comps[10 + i] == 10 + i for i in range(20))
+    kept = {r["doc_id"]: r["n_words"] - r["n_removed"] for r in substring.repeated_removed(docs, 35, keep_text=False).collect()}
+    assert kept[1] == kept[2] == 1 and all(kept[10 + i] == 60 for i in range(20))
+    found = {r["doc_id"]: r for r in quality.quality_rules(docs, keep_text=False).collect()}
+    assert found[1]["n_words"] == 150_000
+    scores = {r["doc_id"]: r for r in language_model.scored(docs, *VOCABULARY, F.lit(False)).collect()}
+    assert scores[1]["n_tokens"] == 150_001 and np.isfinite(scores[2]["score"])
+    bench = spark.createDataFrame([(5, " ".join(long[140_000:140_030]))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.leaks(docs, bench).collect()} == {1, 2}
+    assert all(0 <= r["score"] <= 1 for r in toxicity.scored(docs, toxicity.Convolutional()).collect())
+    page = "<div>menu</div><article>" + "".join(f"<p>{x}</p>" for x in long[:100_000]) + "</article>"
+    assert template.main_text(page) == "\n".join(long[:100_000])
