@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import commits as C
+from ..functions import proofs, texts
 from ..functions.diffs import unified_diff
 from ..operators import datasets, evaluation, explore, holes, lifecycle
 from ..sources import gitlog, records
@@ -60,6 +61,22 @@ def mine(changes: DataFrame, repo: str, language: str = "coq") -> DataFrame:
     )
 
 
+def partial_challenges(solutions: DataFrame, known: DataFrame, sizes: tuple[int, ...] = (5, 7, 10, 15)) -> DataFrame:
+    """Challenge files of solved slots, one per number of tactics removed.
+
+    solutions: slot, declaration, solution; known: slot, file, for files that are there already and stay. Slots whose
+    proof can't be read give none."""
+    read = solutions.withColumn("_s", proofs.extract_sentences("solution", "declaration")).where("_s is not null")
+    each = read.withColumn("deletion_size", F.explode(F.array(*map(F.lit, sizes))))
+    made = each.select("slot", "deletion_size", F.format_string("challenge%d.v", "deletion_size").alias("file"), proofs.remove_last_tactics(F.col("solution"), F.col("_s"), F.col("deletion_size")).alias("content"))
+    return made.join(known.select("slot", "file").distinct(), ["slot", "file"], "left_anti")
+
+
+def study_prompts(timelines: DataFrame) -> DataFrame:
+    """A prompt per declaration of enriched lifecycle records, with the fields that `texts.trajectory_prompt` names."""
+    return timelines.select("declaration", texts.trajectory_prompt({c: F.col(c) for c in timelines.columns}).alias("prompt"))
+
+
 def stats(challenges: DataFrame) -> DataFrame:
     """Challenges and holes: in all, by repository and by assistant."""
     counted = challenges.select("repo", "proof_assistant", F.size("holes_filled").alias("h"))

@@ -466,6 +466,17 @@ def patch_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", X.patch_admitted(F.lit("Lemma b : y.\nProof.\n  Admitted.\n"), F.lit("Lemma b"), F.format_string("t%d.\nQed.", F.col("o_orderkey") % 5)).alias("patched"))
 
 
+@query(rf"""{_PROOFS}, s as (select *, unnest([5, 7, 10, 15]) as size from q where k % 13 <> 0)
+select 'slot' || k as slot, size::int as deletion_size, 'challenge' || size || '.v' as file, case when n = 0 then head || chr(10) || term || {_sql_text(_TAIL)}
+ else head || array_to_string(human[:n - least(size, n)], '') || chr(10) || '  Admitted.' || chr(10) || {_sql_text(_TAIL)} end as content from s where (k + size) % 4 <> 0""")
+def partial_challenges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X21 over slots: challenge files for all sizes, but for those that are there already."""
+    k = F.col("o_orderkey")
+    solved = _proofs(spark, sf_dir).select(F.concat(F.lit("slot"), k.cast("string")).alias("slot"), F.when(k % 13 == 0, "missing").otherwise("a").alias("declaration"), F.col("human").alias("solution"), k.alias("k"))
+    known = solved.withColumn("n", F.explode(F.array(*map(F.lit, (5, 7, 10, 15))))).where("(k + n) % 4 = 0").select("slot", F.format_string("challenge%d.v", "n").alias("file"))
+    return commands.partial_challenges(solved, known)
+
+
 @query("select o_orderkey, case o_orderkey % 6 when 0 then 'a' when 1 then 'b' when 2 then 'a,b' when 3 then 'c' else '' end as open from orders")
 def declarations_with_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A block runs to the first end, over later declarations too."""
@@ -803,7 +814,7 @@ def study_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = V.timeline(spark, sf_dir)
     timeline = F.transform("commit_timeline", lambda c: F.struct(c["date"].alias("date"), c["hash"].alias("hash"), F.lit("unknown").alias("author"), c["subject"].alias("subject"), F.lit("").alias("message_body"), c["commit_class"].alias("commit_class"), c["net_proof_lines"].alias("net_proof_lines"), F.array_sort(c["tactic_tags"]).alias("tactic_tags"), F.array().cast("array<string>").alias("proof_style")))
     fields = {c: F.col(c) for c in ("declaration", "file", "hole_kind", "first_hole_date", "proof_complete_date", "days_to_prove", "n_commits_with_hole")} | {"timeline": timeline, "top_tactics": F.array().cast("array<string>"), "tactic_groups_used": F.array_sort("tactic_groups_used")}
-    return t.select("declaration", X.trajectory_prompt(fields).alias("prompt"))
+    return commands.study_prompts(t.select(*[c.alias(n) for n, c in fields.items()]))
 
 
 def _study(spark: SparkSession, sf_dir: str) -> DataFrame:
