@@ -214,14 +214,13 @@ def tactic_count(sentences: Column) -> Column:
     return F.size(tactics_of(sentences))
 
 
-def automation_ratio(sentences: Column) -> Column:
-    names = tactic_names(sentences)
+def _automation_ratio(names: Column) -> Column:
     hits = F.size(F.filter(names, lambda n: n.isin(*vocab.AUTOMATION)))
     return F.when(F.size(names) == 0, F.lit(0.0)).otherwise(hits / F.size(names))
 
 
-def unique_tactics(sentences: Column) -> Column:
-    return F.size(F.array_distinct(F.filter(tactic_names(sentences), lambda n: n != "?")))
+def _unique_tactics(names: Column) -> Column:
+    return F.size(F.array_distinct(F.filter(names, lambda n: n != "?")))
 
 
 def brace_depth(content: Column) -> Column:
@@ -255,15 +254,19 @@ def normalized_distance(distance: Column, human: Column, model: Column) -> Colum
 
 
 def proof_metrics(sentences: Column) -> Column:
-    """The text metrics of a proof as a struct, null without a proof."""
-    text = F.array_join(F.transform(sentences, lambda s: s["text"]), "")
-    made = F.struct(
-        tactic_count(sentences).alias("tactic_count"),
-        automation_ratio(sentences).alias("automation_ratio"),
-        unique_tactics(sentences).alias("unique_tactic_types"),
-        brace_depth(text).alias("max_bullet_depth"),
-        F.length(text).alias("proof_chars"),
-        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).alias("proof_lines"),
-        text.rlike(r"(?U)\bAdmitted\s*\.").alias("ends_with_admitted"),
-    )
-    return F.when(sentences.isNotNull(), made)
+    """The text metrics of a proof as a struct, null without a proof; its names and text are made once."""
+
+    def made(p: Column) -> Column:
+        names, text = p["names"], p["text"]
+        return F.struct(
+            F.size(names).alias("tactic_count"),
+            _automation_ratio(names).alias("automation_ratio"),
+            _unique_tactics(names).alias("unique_tactic_types"),
+            brace_depth(text).alias("max_bullet_depth"),
+            F.length(text).alias("proof_chars"),
+            (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).alias("proof_lines"),
+            text.rlike(r"(?U)\bAdmitted\s*\.").alias("ends_with_admitted"),
+        )
+
+    whole = F.struct(tactic_names(sentences).alias("names"), F.array_join(F.transform(sentences, lambda s: s["text"]), "").alias("text"))
+    return F.when(sentences.isNotNull(), F.element_at(F.transform(F.array(whole), made), 1))
