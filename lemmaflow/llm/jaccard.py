@@ -236,7 +236,7 @@ def _voronoi(rows: DataFrame, nodes: DataFrame, turn: int, num: int, den: int) -
     return dealt.mapInArrow(run, "key long, shingle long, node long, comp long, deep boolean, cnt long, cell long, guest boolean")
 
 
-def _split(apart: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+def _split(apart: DataFrame, nodes: DataFrame, windows: DataFrame, num: int, den: int) -> DataFrame:
     """(key, node, comp, part, own) of regions cut, again and again, into cells of at most ``PART`` members.
 
     Where windows leave members in most cells, for their distances to all pivots are alike, the region is cut by shingle
@@ -250,14 +250,17 @@ def _split(apart: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
             break
         cut = written(_voronoi(rows, nodes, turn, num, den), "cells")
         grown = written(cut.groupBy("key").agg(F.count(F.lit(1)).alias("made"), F.first("cnt").alias("cnt"), F.first("deep").alias("deep")).where(F.col("made") > GROWTH * F.col("cnt")).select("key", "deep"), "grown")
-        good = cut.join(grown.select("key"), "key", "left_anti").withColumn("key", F.xxhash64("key", "cell"))
-        alike = rows.join(grown.where("not deep").select("key"), "key", "left_semi").join(nodes.select(F.col("doc_id").alias("node"), "pivots"), "node")
-        twos = alike.select(F.col("key").alias("region"), F.col("cnt").alias("of"), *cols[1:5], F.lit(True).alias("deep"), F.explode(F.array_remove("pivots", F.col("shingle"))).alias("_two"))
-        second = written(_described(written(twos.withColumn("key", F.xxhash64("region", "_two")).drop("_two"), "second")), "twos")
-        # Sets with more than two shingles in common would fall into as many regions together: those regions stay as they are.
-        worse = written(second.where(F.col("cnt") > PART).groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.first("of").alias("of")).where(F.col("n") > F.col("of")).select("region"), "worse")
-        stuck.append(rows.join(grown.where("deep").select("key").unionByName(worse.withColumnRenamed("region", "key")), "key", "left_semi"))
-        rows = written(_described(written(good.select(*cols).unionByName(second.join(worse, "region", "left_anti").select(*cols)), "cut")), "rows")
+        if grown.isEmpty():
+            rows = written(_described(written(cut.withColumn("key", F.xxhash64("key", "cell")).select(*cols), "cut")), "rows")
+        else:
+            good = cut.join(grown.select("key"), "key", "left_anti").withColumn("key", F.xxhash64("key", "cell"))
+            alike = rows.join(grown.where("not deep").select("key"), "key", "left_semi").join(windows, "node")
+            twos = alike.select(F.col("key").alias("region"), F.col("cnt").alias("of"), *cols[1:5], F.lit(True).alias("deep"), F.explode(F.array_remove("pivots", F.col("shingle"))).alias("_two"))
+            second = written(_described(written(twos.withColumn("key", F.xxhash64("region", "_two")).drop("_two"), "second")), "twos")
+            # Sets with more than two shingles in common would fall into as many regions together: those regions stay as they are.
+            worse = written(second.where(F.col("cnt") > PART).groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.first("of").alias("of")).where(F.col("n") > F.col("of")).select("region"), "worse")
+            stuck.append(rows.join(grown.where("deep").select("key").unionByName(worse.withColumnRenamed("region", "key")), "key", "left_semi"))
+            rows = written(_described(written(good.select(*cols).unionByName(second.join(worse, "region", "left_anti").select(*cols)), "cut")), "rows")
         done.append(rows.where(F.col("cnt") <= PART))
         rows = rows.where(F.col("cnt") > PART)
     stuck.append(rows)
@@ -327,9 +330,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     light = all_points.select("doc_id", "n", "sig1", "sig2")
     same = written(light.where("n > 0 and doc_id is not null").groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("node")), "same")
     extra = written(light.join(same, ["n", "sig1", "sig2"]).where("doc_id != node").select("doc_id").distinct(), "extra")
-    nodes = all_points.where("n > 0 and doc_id is not null").join(extra, "doc_id", "left_anti")
+    points_of = all_points.where("n > 0 and doc_id is not null").join(extra, "doc_id", "left_anti")
+    nodes = written(points_of.select("doc_id", "n", "pooled"), "nodes")
     window = F.col("n") - F.call_function("div", F.col("n") * num + (den - 1), F.lit(den).cast("long")) + 1
-    rows = nodes.select(F.col("doc_id").alias("node"), F.explode(F.slice("pivots", F.lit(1), window.cast("int"))).alias("key"))
+    rows = points_of.select(F.col("doc_id").alias("node"), F.explode(F.slice("pivots", F.lit(1), window.cast("int"))).alias("key"))
     # A written count has a shuffle of its own in the join, so a crowded key's rows can be split there.
     found = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min("node").alias("pivot")).where("cnt > 1"), "found")
     regions = written(rows.join(found, "key"), "regions")
@@ -339,7 +343,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     comps = connected_components(links)
     most = 16
     while True:
-        cells = written(_split(_apart(regions, comps), nodes, num, den), "split")
+        cells = written(_split(_apart(regions, comps), nodes, points_of.select(F.col("doc_id").alias("node"), "pivots"), num, den), "split")
         offered = written(_candidates(cells, nodes, most, num, den), "offered")
         pairs = offered.where("not held").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
