@@ -359,7 +359,7 @@ def test_attention_gradients():
     ids = rng.integers(0, n, 31)
     here, target, where, _ = (x.reshape(-1, 16) if len(x) == 32 else x for x in padded(ids, np.array([0, 30]), 16))
     real = np.isin(np.arange(32), where).reshape(-1, 16)
-    loss = lambda: model.gradients(here, target, real)[0] / 30
+    loss = lambda: -np.log(model.gradients(here, target, real)[0]).sum() / 30
     seen, grads = model.gradients(here, target, real)[1:]
     grads = {k: v / 30 for k, v in grads.items()}
     assert seen == 30 and all(np.allclose(v / 30, grads[k]) for k, v in model.gradients(here, target, real, False)[2].items())
