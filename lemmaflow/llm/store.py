@@ -43,10 +43,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lemmaflow/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends here, and a
-    lost executor costs no recomputation of what came before."""
+    lost executor costs no recomputation of what came before. Tables that are read
+    again and again may take a faster codec."""
     small_batches(df.sparkSession)
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
