@@ -11,7 +11,9 @@ would put nearly all rows into one region. The join therefore descends:
    first ``n - ceil(t n) + 1`` pivots of its own. Two points within eps have a
    common pivot in their windows, so each linked pair meets in a region. Any one
    order is exact; here it is by hash, with shingles of crowded regions last, for
-   which the lower hashes of all documents are counted once.
+   which the lower hashes of all documents are counted once. Documents that a region of
+   more than ``DENSE`` still holds meet each other by an order of their own instead,
+   the rarest among them first, and such a region, which holds no others, is left out.
 3. In a region the pivots of the next levels are documents. Every member is first held
    against one of them; those within eps link to it and collapse into its component.
 4. Inside a region distances are bounded from below by a histogram of the shingle
@@ -23,8 +25,7 @@ would put nearly all rows into one region. The join therefore descends:
    whose pivot is at most ``2 r`` farther than its nearest (the triangle inequality),
    but for members of the region's largest component, which need no comparing with each
    other. Cells are cut again until they are small. Where all distances are alike and
-   the windows would cover most cells, a second shingle cuts instead: among the first
-   ``n - ceil(t n) + 2`` shingles linked sets share two.
+   the windows would cover most cells, the region is taken in blocks of ``PART`` owners.
 
 Whatever passes the bound is verified on the whole texts. A pass offers each point at
 most ``k`` candidates of each other component, and ``k`` grows until nobody holds
@@ -58,6 +59,8 @@ BINS = 256
 PART, CELLS, GROWTH, TURNS = 500, 32, 3, 8
 #: A shingle in more windows than this goes last in the order, up to so many shingles.
 CROWD, MOST_CROWDED = 32, 1 << 20
+#: Members of a region beyond which they are dealt anew, by the order of their own.
+DENSE = 64
 
 
 def shingle_sets(block: Block, k: int) -> Iterator[np.ndarray]:
@@ -106,7 +109,7 @@ def _first(s: np.ndarray, last: np.ndarray, p: int) -> np.ndarray:
 
 
 def points(docs: DataFrame, last: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """Per document: n, two signatures of the set, its pivots (the window's, and one more) and its histogram."""
+    """Per document: n, two signatures of the set, the pivots of its window and its histogram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +120,7 @@ def points(docs: DataFrame, last: np.ndarray, k: int, num: int, den: int) -> Dat
                     n.append(size)
                     one.append(int(mix(s).sum(dtype=np.uint64)))
                     two.append(int(mix(s * np.uint64(3) + np.uint64(7)).sum(dtype=np.uint64)))
-                    pivots.append(_first(s, last, _window(size, num, den) + 1 if size else 0).view(np.int64))
+                    pivots.append(_first(s, last, _window(size, num, den) if size else 0).view(np.int64))
                     pooled.append(np.minimum(np.bincount((s >> np.uint64(7)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes())
             ends = np.cumsum([0, *map(len, pivots)])
             yield pa.RecordBatch.from_pydict(
@@ -134,6 +137,41 @@ def points(docs: DataFrame, last: np.ndarray, k: int, num: int, den: int) -> Dat
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig1 long, sig2 long, pivots array<long>, pooled binary")
 
 
+def _regions(rows: DataFrame) -> DataFrame:
+    """(node, key) rows of shingles in two windows or more, with cnt, the members, and one of them as pivot."""
+    # A written count has a shuffle of its own in the join, so a crowded key's rows can be split there.
+    found = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min("node").alias("pivot")).where("cnt > 1"), "found")
+    return written(rows.join(found, "key").select("key", "node", "cnt", "pivot"), "regions")
+
+
+def _dealt_anew(regions: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The regions without those of more than ``DENSE`` members; windows of these members under a second order, the
+    rarest among them first, make up for all their pairs."""
+    members = written(regions.where(F.col("cnt") > DENSE).select(F.col("node").alias("doc_id")).distinct(), "dense")
+    if members.isEmpty():
+        return regions
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s.view(np.int64) for block in blocks(batch.column("text"), lower=True) for s in shingle_sets(block, k)]
+            listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets) if sets else [], pa.int64()))
+            yield pa.RecordBatch.from_pydict({"node": batch.column("doc_id"), "shingles": listed})
+
+    held = written(texts.mapInArrow(run, "node long, shingles array<long>").withColumn("row", F.monotonically_increasing_id()), "shingles")
+    each = held.select("row", "node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key"))
+    often = written(each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "often")
+    # Shingles of one row alone come first in its window and make no region: only their number counts.
+    ranked = each.join(often, "key").groupBy("row", "node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("shared"))
+    left = (_window_column(num, den) - (F.col("n") - F.size("shared"))).cast("int")
+    second = ranked.withColumn("left", left).where("left > 0").select("node", F.explode(F.slice("shared", F.lit(1), F.col("left"))).alias("x"))
+    return regions.where(F.col("cnt") <= DENSE).unionByName(_regions(second.select("node", F.xxhash64("x.key", F.lit(2)).alias("key"))))
+
+
+def _window_column(num: int, den: int) -> F.Column:
+    return F.col("n") - F.call_function("div", F.col("n") * num + (den - 1), F.lit(den).cast("long")) + 1
+
+
 def _near(size: np.ndarray, apart: np.ndarray, num: int, den: int) -> np.ndarray:
     """Whether sets with sizes summing to ``size`` and a difference of at least ``apart`` can link."""
     return den * (size - apart) >= num * (size + apart)
@@ -191,7 +229,7 @@ def _described(rows: DataFrame) -> DataFrame:
 def _apart(regions: DataFrame, comps: DataFrame) -> DataFrame:
     """Members of regions that span more than one component and hold more than the pivot and one other."""
     named = regions.where("cnt > 2").select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rows = written(named.select("key", F.col("key").alias("shingle"), "node", "comp", F.lit(False).alias("guest"), F.lit(False).alias("deep")), "members")
+    rows = written(named.select("key", "node", "comp", F.lit(False).alias("guest")), "members")
     return written(_described(rows), "apart")
 
 
@@ -229,38 +267,29 @@ def _voronoi(rows: DataFrame, nodes: DataFrame, turn: int, num: int, den: int) -
                 i, j = np.nonzero(inside)
                 at.append(mine[i]), cell.append(np.array([p["node"] for p in listed])[j]), visits.append(guest[mine[i]] | (j != near[i]))
             take = pa.array(np.concatenate(at) if at else [], pa.int64())
-            cols = {c: batch.column(c).take(take) for c in ("key", "shingle", "node", "comp", "deep", "cnt")}
+            cols = {c: batch.column(c).take(take) for c in ("key", "node", "comp", "cnt")}
             yield pa.RecordBatch.from_pydict({**cols, "cell": pa.array(np.concatenate(cell) if cell else [], pa.int64()), "guest": pa.array(np.concatenate(visits) if visits else [], pa.bool_())})
 
-    dealt = both.select("key", "shingle", "node", "comp", "guest", "deep", "cnt", "home", "n", "pooled", "pivots")
-    return dealt.mapInArrow(run, "key long, shingle long, node long, comp long, deep boolean, cnt long, cell long, guest boolean")
+    dealt = both.select("key", "node", "comp", "guest", "cnt", "home", "n", "pooled", "pivots")
+    return dealt.mapInArrow(run, "key long, node long, comp long, cnt long, cell long, guest boolean")
 
 
-def _split(apart: DataFrame, nodes: DataFrame, windows: DataFrame, num: int, den: int) -> DataFrame:
+def _split(apart: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """(key, node, comp, part, own) of regions cut, again and again, into cells of at most ``PART`` members.
 
-    Where windows leave members in most cells, for their distances to all pivots are alike, the region is cut by shingle
-    pivots once more: linked members share a second shingle within windows that are longer by one. What neither cuts
+    Where windows leave members in most cells, for their distances to all pivots are alike, the region
     is taken in blocks of ``PART`` owners, each with all members that could link to them."""
-    cols = ("key", "shingle", "node", "comp", "guest", "deep")
+    cols = ("key", "node", "comp", "guest")
     done = [apart.where(F.col("cnt") <= PART)]
     rows, stuck = written(apart.where(F.col("cnt") > PART), "wide"), []
     for turn in range(TURNS):
         if rows.isEmpty():
             break
         cut = written(_voronoi(rows, nodes, turn, num, den), "cells")
-        grown = written(cut.groupBy("key").agg(F.count(F.lit(1)).alias("made"), F.first("cnt").alias("cnt"), F.first("deep").alias("deep")).where(F.col("made") > GROWTH * F.col("cnt")).select("key", "deep"), "grown")
-        if grown.isEmpty():
-            rows = written(_described(written(cut.withColumn("key", F.xxhash64("key", "cell")).select(*cols), "cut")), "rows")
-        else:
-            good = cut.join(grown.select("key"), "key", "left_anti").withColumn("key", F.xxhash64("key", "cell"))
-            alike = rows.join(grown.where("not deep").select("key"), "key", "left_semi").join(windows, "node")
-            twos = alike.select(F.col("key").alias("region"), F.col("cnt").alias("of"), *cols[1:5], F.lit(True).alias("deep"), F.explode(F.array_remove("pivots", F.col("shingle"))).alias("_two"))
-            second = written(_described(written(twos.withColumn("key", F.xxhash64("region", "_two")).drop("_two"), "second")), "twos")
-            # Sets with more than two shingles in common would fall into as many regions together: those regions stay as they are.
-            worse = written(second.where(F.col("cnt") > PART).groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.first("of").alias("of")).where(F.col("n") > F.col("of")).select("region"), "worse")
-            stuck.append(rows.join(grown.where("deep").select("key").unionByName(worse.withColumnRenamed("region", "key")), "key", "left_semi"))
-            rows = written(_described(written(good.select(*cols).unionByName(second.join(worse, "region", "left_anti").select(*cols)), "cut")), "rows")
+        grown = written(cut.groupBy("key").agg(F.count(F.lit(1)).alias("made"), F.first("cnt").alias("cnt")).where(F.col("made") > GROWTH * F.col("cnt")).select("key"), "grown")
+        stuck.append(rows.join(grown, "key", "left_semi"))
+        good = cut.join(grown, "key", "left_anti").withColumn("key", F.xxhash64("key", "cell"))
+        rows = written(_described(written(good.select(*cols), "cut")), "rows")
         done.append(rows.where(F.col("cnt") <= PART))
         rows = rows.where(F.col("cnt") > PART)
     stuck.append(rows)
@@ -332,18 +361,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     extra = written(light.join(same, ["n", "sig1", "sig2"]).where("doc_id != node").select("doc_id").distinct(), "extra")
     points_of = all_points.where("n > 0 and doc_id is not null").join(extra, "doc_id", "left_anti")
     nodes = written(points_of.select("doc_id", "n", "pooled"), "nodes")
-    window = F.col("n") - F.call_function("div", F.col("n") * num + (den - 1), F.lit(den).cast("long")) + 1
-    rows = points_of.select(F.col("doc_id").alias("node"), F.explode(F.slice("pivots", F.lit(1), window.cast("int"))).alias("key"))
-    # A written count has a shuffle of its own in the join, so a crowded key's rows can be split there.
-    found = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min("node").alias("pivot")).where("cnt > 1"), "found")
-    regions = written(rows.join(found, "key"), "regions")
+    rows = points_of.select(F.col("doc_id").alias("node"), F.explode("pivots").alias("key"))
+    regions = _dealt_anew(_regions(rows), docs, k, num, den)
     stars = regions.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     tested = written(_can_link(stars, nodes, num, den), "pairs")
     links = written(_verified(tested, docs, k, num, den), "links")
     comps = connected_components(links)
     most = 16
     while True:
-        cells = written(_split(_apart(regions, comps), nodes, points_of.select(F.col("doc_id").alias("node"), "pivots"), num, den), "split")
+        cells = written(_split(_apart(regions, comps), nodes, num, den), "split")
         offered = written(_candidates(cells, nodes, most, num, den), "offered")
         pairs = offered.where("not held").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")

@@ -104,6 +104,27 @@ def test_unlike_documents_of_one_region(spark, monkeypatch, n_shared, crowd):
         assert seen[0].groupBy("key", "part").count().agg(F.max("count")).first()[0] in (None, *range(51))
 
 
+def graded_copies(n=300, size=120):
+    """Copies of one text with up to half of the words changed: many pairs just link, more just don't."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(size)]
+    return [(i, " ".join(f"x{i}.{j}" if rng.random() < i % 30 / 150 else w for j, w in enumerate(base))) for i in range(n)]
+
+
+@pytest.mark.parametrize("dense", [4, 64])
+def test_graded_copies_stay_few_rows(spark, monkeypatch, dense):
+    """The regions of one cluster are dealt by its own rarest shingles, not cut by pairs of shingles."""
+    seen = []
+    monkeypatch.setattr(jaccard, "PART", 100)
+    monkeypatch.setattr(jaccard, "DENSE", dense, raising=False)
+    whole = jaccard._split
+    monkeypatch.setattr(jaccard, "_split", lambda *args: seen.append(whole(*args)) or seen[-1])
+    rows = graded_copies()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(frame(spark, rows), 4, 85, 100).collect()}
+    assert got == brute_components(rows, 4, 85, 100)
+    assert seen[0].count() <= 10 * len(rows)
+
+
 def test_jaccard_nulls_repeats_and_none(spark):
     rows = [(7, "a b c d e"), (7, "a b c d e"), (None, "a b c d e"), (9, "A b c d e")]
     got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(frame(spark, rows), 4, 85, 100).collect())
