@@ -371,7 +371,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     while True:
         cells = written(_split(_apart(regions, comps), nodes, num, den), "split")
         offered = written(_candidates(cells, nodes, most, num, den), "offered")
-        pairs = offered.where("not held").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        # Written, or the anti-join would move below the aggregate and take every pair once for each of its cells.
+        pairs = written(offered.where("not held").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "distinct")
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             more = written(_verified(pairs, docs, k, num, den), "links")
