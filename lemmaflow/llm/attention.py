@@ -22,8 +22,8 @@ import tiktoken
 from .text import Block
 
 STEP, DIM, CLASSES = 8, 16, 32
-#: Windows of a training batch, and batches to one that moves all weights.
-BATCH, TURNS = 256, 4
+#: Windows of a training batch.
+BATCH = 256
 LOG10 = np.float32(np.log10(np.e))
 
 
@@ -212,16 +212,15 @@ class Attention:
             g["embed"] = d_tq @ w["q"].T + d_tk @ w["k"].T + d_tv @ w["v"].T
         return told[real], int(real.sum()), g
 
-    def train(self, ids: np.ndarray, first: np.ndarray, batch: int = BATCH, rate: float = 0.01, seed: int = 1, turns: int = TURNS) -> int:
+    def train(self, ids: np.ndarray, first: np.ndarray, batch: int = BATCH, rate: float = 0.01, seed: int = 1) -> int:
         """One pass of Adam over the windows of some texts, which cover all tokens, in random order; the number of targets.
 
-        Weights take turns: each batch moves those behind attention, one in ``turns`` all others too."""
+        Every window moves all weights, those of attention too."""
         asks, target, where, _ = padded(ids, first, 2 * STEP)
         real = np.zeros(len(asks), bool)
         real[where] = True
         asks, target, real = (x.reshape(-1, 2 * STEP) for x in (asks, target, real))
         order = np.random.Generator(np.random.PCG64(seed)).permutation(len(asks))
-        done = dict.fromkeys(self.weights, 0)
         m = {k: np.zeros_like(v) for k, v in self.weights.items()}
         s = {k: np.zeros_like(v) for k, v in self.weights.items()}
         seen, steps = 0, max(1, -(-len(order) // batch))
@@ -229,16 +228,15 @@ class Attention:
             pick = order[t * batch : (t + 1) * batch]
             if not len(pick):
                 break
-            _, n_real, g = self.gradients(asks[pick], target[pick], real[pick], t % turns == 0)
+            _, n_real, g = self.gradients(asks[pick], target[pick], real[pick])
             seen += n_real
             now = rate * (1 - 0.9 * t / steps) * min(1, (t + 1) / 10)
             for k, grad in g.items():
                 grad = grad / np.float32(max(1, n_real))
-                done[k] += 1
                 m[k] += np.float32(0.1) * (grad - m[k])
                 s[k] += np.float32(0.01) * (grad * grad - s[k])
-                root = np.sqrt(s[k] / np.float32(1 - 0.99 ** done[k])) + np.float32(1e-6)
-                self.weights[k] = self.weights[k] - np.float32(now / (1 - 0.9 ** done[k])) * m[k] / root
+                root = np.sqrt(s[k] / np.float32(1 - 0.99 ** (t + 1))) + np.float32(1e-6)
+                self.weights[k] = self.weights[k] - np.float32(now / (1 - 0.9 ** (t + 1))) * m[k] / root
         return seen
 
 

@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lemmaflow.llm import decontaminate, jaccard, language_model, quality, substring, template, toxicity, warc
-from lemmaflow.llm.attention import Attention, padded, subwords
+from lemmaflow.llm.attention import STEP, Attention, padded, subwords
 from lemmaflow.llm.text import blocks
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -351,6 +351,18 @@ def test_attention_is_causal_and_sums_to_one():
     assert abs(total - 1) < 1e-3
 
 
+def test_every_window_moves_attention():
+    rng = np.random.Generator(np.random.PCG64(5))
+    size, wide = 320, 2 * STEP
+    ids = np.append(size, np.arange(size))  # every subword stands in one window only
+    model = Attention.from_counts(rng.random((size + 1, size + 1)))
+    model.weights["out"] = rng.standard_normal(model.weights["out"].shape).astype(np.float32)
+    before = model.weights["embed"]
+    assert model.train(ids, np.array([0, size]), batch=2) == size
+    moved = (model.weights["embed"] != before).any(axis=1)
+    assert moved[ids[:-1]].all() and size // wide > 2 * 4
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(3)
     n = 50
