@@ -131,14 +131,14 @@ class Attention:
         """Attention of windows: queries q are the last of the places that have keys k and values v; ``alone`` windows see only places with queries."""
         lead = k.shape[1] - q.shape[1]
         lag = lead + np.arange(q.shape[1])[:, None] - np.arange(k.shape[1])[None, :]
-        scores = q @ k.transpose(0, 2, 1)
+        scores = q @ np.ascontiguousarray(k.transpose(0, 2, 1))  # much faster than with the view
         scores += np.where(lag >= 0, self.weights["lag"][np.maximum(lag, 0)], np.float32(-1e9))
         if alone is not None:
             scores[alone, :, :lead] = -1e9
         np.exp(scores, out=scores)
         scores /= scores @ _ones(k.shape[1])
         mixed = (scores @ v).reshape(-1, DIM)
-        mixed += self.weights["state"][last]
+        mixed += self.weights["state"].take(last, axis=0)
         hidden = np.tanh(mixed, out=mixed)
         return lag, scores, hidden, hidden @ self.weights["out"]
 
@@ -166,10 +166,10 @@ class Attention:
         for lo in range(0, len(alone), batch):
             here = asks[lo * STEP : (lo + batch + 1) * STEP]
             last, goal = here[STEP:], target[lo * STEP : (lo + batch) * STEP]
-            *_, logits = self._logits(tq[last].reshape(-1, STEP, DIM), overlapping(tk[here]), overlapping(tv[here]), last, alone[lo : lo + batch])
+            *_, logits = self._logits(tq.take(last, axis=0).reshape(-1, STEP, DIM), overlapping(tk.take(here, axis=0)), overlapping(tv.take(here, axis=0)), last, alone[lo : lo + batch])
             kind = self.classes[goal]
             chosen = logits[rows[: len(goal)], kind]
-            logits += self.to_class[last]
+            logits += self.to_class.take(last, axis=0)
             self._exp(logits)
             out[lo * STEP : lo * STEP + len(goal)] = self.pair[last, goal] + chosen - np.log((logits @ _ones(CLASSES))[:, 0])
         return out[where]
@@ -180,9 +180,10 @@ class Attention:
         w = self.weights
         tq, tk, tv = self._tables()
         last, real = here.reshape(-1), real.reshape(-1)
-        lag, attn, hidden, logits = self._logits(tq[here], tk[here], tv[here], last)
+        q, k, v = (x.take(last, axis=0).reshape(*here.shape, DIM) for x in (tq, tk, tv))
+        lag, attn, hidden, logits = self._logits(q, k, v, last)
         goal = self.classes[target.reshape(-1)]
-        logits += self.to_class[last]
+        logits += self.to_class.take(last, axis=0)
         p = self._exp(logits)
         p /= p @ _ones(CLASSES)
         rows = np.arange(len(last))
@@ -193,16 +194,16 @@ class Attention:
         d_mixed = ((p @ w["out"].T) * (1 - hidden * hidden)).reshape(*here.shape, DIM)
         parts = [d_mixed]
         if whole:
-            d_attn = d_mixed @ tv[here].transpose(0, 2, 1)
+            d_attn = d_mixed @ np.ascontiguousarray(v.transpose(0, 2, 1))
             d_scores = attn * (d_attn - (d_attn * attn) @ _ones(here.shape[1]))
             g["lag"] = np.bincount(np.maximum(lag, 0).reshape(-1), np.where(lag >= 0, d_scores.sum(axis=0), 0).reshape(-1), minlength=2 * STEP).astype(np.float32)
-            parts += [attn.transpose(0, 2, 1) @ d_mixed, d_scores @ tk[here], d_scores.transpose(0, 2, 1) @ tq[here]]
+            parts += [attn.transpose(0, 2, 1) @ d_mixed, d_scores @ k, d_scores.transpose(0, 2, 1) @ q]
         # One pass sums all gradients by subword.
         flat = last.astype(np.uint16)
         order = np.argsort(flat, kind="stable")
         begin = np.flatnonzero(np.diff(flat[order], prepend=np.uint16(65535)))
         summed = np.zeros((len(w["embed"]), DIM * len(parts)), np.float32)
-        summed[flat[order[begin]]] = np.add.reduceat(np.concatenate(parts, axis=2).reshape(-1, DIM * len(parts))[order], begin, axis=0)
+        summed[flat[order[begin]]] = np.add.reduceat(np.concatenate(parts, axis=2).reshape(-1, DIM * len(parts)).take(order, axis=0), begin, axis=0)
         g["state"], *rest = np.split(summed, len(parts), axis=1)
         if whole:
             d_tv, d_tq, d_tk = rest
