@@ -33,6 +33,29 @@ def _ones(n: int) -> np.ndarray:
     return np.ones((n, 1), np.float32)
 
 
+@lru_cache(maxsize=4)
+def _cells(rows: int, columns: int) -> np.ndarray:
+    """The places of a table's cells, row by row."""
+    return np.arange(rows * columns).reshape(rows, columns)
+
+
+def _tanh(x: np.ndarray) -> np.ndarray:
+    """Hyperbolic tangents in place, by exponentials, which numpy is faster at; one beyond float32 gives 1."""
+    x *= 2
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    np.divide(-2, x, out=x)
+    x += 1
+    return x
+
+
+@lru_cache(maxsize=4)
+def _lags(rows: int, columns: int) -> np.ndarray:
+    """How far each of the last ``rows`` of ``columns`` places is behind each place; negative for places after it."""
+    return columns - rows + np.arange(rows)[:, None] - np.arange(columns)[None, :]
+
+
 @lru_cache(maxsize=2)
 def subwords(vocabulary: str, pattern: str, size: int) -> tiktoken.Encoding:
     with open(vocabulary, "rb") as lines:
@@ -123,24 +146,27 @@ class Attention:
         weights = {"embed": (rng.standard_normal((size, DIM)) * 0.3).astype(np.float32), "state": (rng.standard_normal((size, DIM)) * 0.3).astype(np.float32), "q": normal(DIM, DIM), "k": normal(DIM, DIM), "v": normal(DIM, DIM), "lag": np.zeros(2 * STEP, np.float32), "out": np.zeros((DIM, CLASSES), np.float32)}
         return cls(np.log(pair).astype(np.float32), np.log(np.maximum(by_class, 1e-30)).astype(np.float32), classes, 0.5, weights)
 
-    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _tables(self) -> np.ndarray:
+        """Of each subword, one after the other: queries (scaled), keys, values, states."""
         w = self.weights
-        return w["embed"] @ w["q"] / np.float32(np.sqrt(DIM)), w["embed"] @ w["k"], w["embed"] @ w["v"]
+        e = w["embed"]
+        return np.stack([e @ (w["q"] / np.float32(np.sqrt(DIM))), e @ w["k"], e @ w["v"], w["state"]])
 
-    def _logits(self, q: np.ndarray, k: np.ndarray, v: np.ndarray, last: np.ndarray, alone: np.ndarray | None = None) -> tuple:
+    def _logits(self, q: np.ndarray, k: np.ndarray, v: np.ndarray, state: np.ndarray, alone: np.ndarray | None = None) -> tuple:
         """Attention of windows: queries q are the last of the places that have keys k and values v; ``alone`` windows see only places with queries."""
-        lead = k.shape[1] - q.shape[1]
-        lag = lead + np.arange(q.shape[1])[:, None] - np.arange(k.shape[1])[None, :]
-        scores = q @ np.ascontiguousarray(k.transpose(0, 2, 1))  # much faster than with the view
-        scores += np.where(lag >= 0, self.weights["lag"][np.maximum(lag, 0)], np.float32(-1e9))
+        wide = k.shape[1]
+        lag = _lags(q.shape[1], wide)
+        scores = q @ k.transpose(0, 2, 1)
+        scores += np.where(lag >= 0, self.weights["lag"][lag], np.float32(-1e9))
         if alone is not None:
-            scores[alone, :, :lead] = -1e9
+            scores[alone, :, : wide - q.shape[1]] = -1e9
         np.exp(scores, out=scores)
-        scores /= scores @ _ones(k.shape[1])
+        flat = scores.reshape(-1, wide)
+        flat /= flat @ _ones(wide)
         mixed = (scores @ v).reshape(-1, DIM)
-        mixed += self.weights["state"].take(last, axis=0)
-        hidden = np.tanh(mixed, out=mixed)
-        return lag, scores, hidden, hidden @ self.weights["out"]
+        mixed += state
+        hidden = _tanh(mixed)
+        return scores, hidden, hidden @ self.weights["out"]
 
     def _exp(self, logits: np.ndarray) -> np.ndarray:
         """The exponentials in place; hidden states are at most 1, so only large weights can take a logit beyond what exp holds."""
@@ -157,8 +183,9 @@ class Attention:
         alone = np.zeros(len(target) // STEP, bool)
         alone[begin // STEP] = True
         out = np.empty(len(target), np.float32)
-        rows = np.arange(batch * STEP)
-        tq, tk, tv = self._tables()
+        rows = np.arange(batch * STEP) * CLASSES
+        tables = self._tables()
+        pair, size = self.pair.reshape(-1), self.pair.shape[1]
 
         def overlapping(x: np.ndarray) -> np.ndarray:
             return np.lib.stride_tricks.as_strided(x, (len(x) // STEP - 1, 2 * STEP, DIM), (STEP * DIM * x.itemsize, DIM * x.itemsize, x.itemsize), writeable=False)
@@ -166,51 +193,59 @@ class Attention:
         for lo in range(0, len(alone), batch):
             here = asks[lo * STEP : (lo + batch + 1) * STEP]
             last, goal = here[STEP:], target[lo * STEP : (lo + batch) * STEP]
-            *_, logits = self._logits(tq.take(last, axis=0).reshape(-1, STEP, DIM), overlapping(tk.take(here, axis=0)), overlapping(tv.take(here, axis=0)), last, alone[lo : lo + batch])
-            kind = self.classes[goal]
-            chosen = logits[rows[: len(goal)], kind]
+            q, k, v, state = tables.take(here, axis=1)
+            *_, logits = self._logits(q[STEP:].reshape(-1, STEP, DIM), overlapping(k), overlapping(v), state[STEP:], alone[lo : lo + batch])
+            told = pair.take(last * size + goal)
+            told += logits.reshape(-1).take(rows[: len(goal)] + self.classes.take(goal))
             logits += self.to_class.take(last, axis=0)
             self._exp(logits)
-            out[lo * STEP : lo * STEP + len(goal)] = self.pair[last, goal] + chosen - np.log((logits @ _ones(CLASSES))[:, 0])
+            told -= np.log((logits @ _ones(CLASSES))[:, 0])
+            out[lo * STEP : lo * STEP + len(goal)] = told
         return out[where]
 
     def gradients(self, here: np.ndarray, target: np.ndarray, real: np.ndarray, whole: bool = True) -> tuple[np.ndarray, int, dict[str, np.ndarray]]:
         """Probabilities of the targets' classes, number of targets and summed gradients of the class log loss over windows (rows) of inputs, targets and whether they are real;
         if not ``whole``, of the weights behind attention only."""
         w = self.weights
-        tq, tk, tv = self._tables()
+        shape = (*here.shape, DIM)
         last, real = here.reshape(-1), real.reshape(-1)
-        q, k, v = (x.take(last, axis=0).reshape(*here.shape, DIM) for x in (tq, tk, tv))
-        lag, attn, hidden, logits = self._logits(q, k, v, last)
-        goal = self.classes[target.reshape(-1)]
+        q, k, v, state = self._tables().take(last, axis=1)
+        q, k, v = q.reshape(shape), k.reshape(shape), v.reshape(shape)
+        attn, hidden, logits = self._logits(q, k, v, state)
+        at = np.arange(0, logits.size, CLASSES) + self.classes.take(target.reshape(-1))
         logits += self.to_class.take(last, axis=0)
         p = self._exp(logits)
         p /= p @ _ones(CLASSES)
-        rows = np.arange(len(last))
-        told = p[rows, goal]
-        p[rows, goal] = told - 1
+        flat = p.reshape(-1)
+        told = flat.take(at)
+        flat[at] = told - 1
         p[~real] = 0
         g = {"out": hidden.T @ p}
-        d_mixed = ((p @ w["out"].T) * (1 - hidden * hidden)).reshape(*here.shape, DIM)
-        parts = [d_mixed]
-        if whole:
-            d_attn = d_mixed @ np.ascontiguousarray(v.transpose(0, 2, 1))
-            d_scores = attn * (d_attn - (d_attn * attn) @ _ones(here.shape[1]))
-            g["lag"] = np.bincount(np.maximum(lag, 0).reshape(-1), np.where(lag >= 0, d_scores.sum(axis=0), 0).reshape(-1), minlength=2 * STEP).astype(np.float32)
-            parts += [attn.transpose(0, 2, 1) @ d_mixed, d_scores @ k, d_scores.transpose(0, 2, 1) @ q]
-        # One pass sums all gradients by subword.
-        flat = last.astype(np.uint16)
-        order = np.argsort(flat, kind="stable")
-        begin = np.flatnonzero(np.diff(flat[order], prepend=np.uint16(65535)))
-        summed = np.zeros((len(w["embed"]), DIM * len(parts)), np.float32)
-        summed[flat[order[begin]]] = np.add.reduceat(np.concatenate(parts, axis=2).reshape(-1, DIM * len(parts)).take(order, axis=0), begin, axis=0)
-        g["state"], *rest = np.split(summed, len(parts), axis=1)
+        np.multiply(hidden, hidden, out=hidden)
+        np.subtract(1, hidden, out=hidden)
+        d_mixed = p @ w["out"].T
+        d_mixed *= hidden
+        cells = _cells(len(w["embed"]), DIM).take(last, axis=0).reshape(-1)
+
+        def by_subword(x: np.ndarray) -> np.ndarray:
+            return np.bincount(cells, x.reshape(-1), w["embed"].size).reshape(-1, DIM).astype(np.float32)
+
+        g["state"] = by_subword(d_mixed)
         if whole:
-            d_tv, d_tq, d_tk = rest
-            d_tq = d_tq / np.float32(np.sqrt(DIM))
-            e = w["embed"]
-            g["q"], g["k"], g["v"] = e.T @ d_tq, e.T @ d_tk, e.T @ d_tv
-            g["embed"] = d_tq @ w["q"].T + d_tk @ w["k"].T + d_tv @ w["v"].T
+            d_mixed = d_mixed.reshape(shape)
+            d_scores = d_mixed @ v.transpose(0, 2, 1)
+            flat, seen = d_scores.reshape(len(last), -1), attn.reshape(len(last), -1)
+            flat -= (flat * seen) @ _ones(here.shape[1])
+            flat *= seen
+            lag = _lags(here.shape[1], here.shape[1])
+            g["lag"] = np.bincount(lag[lag >= 0], d_scores.sum(axis=0)[lag >= 0], 2 * STEP).astype(np.float32)
+            g["embed"] = np.zeros_like(w["embed"])
+            for name, d in (("q", d_scores @ k), ("k", d_scores.transpose(0, 2, 1) @ q), ("v", attn.transpose(0, 2, 1) @ d_mixed)):
+                summed = by_subword(d)
+                if name == "q":
+                    summed /= np.float32(np.sqrt(DIM))
+                g[name] = w["embed"].T @ summed
+                g["embed"] += summed @ w[name].T
         return told[real], int(real.sum()), g
 
     def train(self, ids: np.ndarray, first: np.ndarray, batch: int = BATCH, rate: float = 0.01, seed: int = 1) -> int:
@@ -222,8 +257,12 @@ class Attention:
         real[where] = True
         asks, target, real = (x.reshape(-1, 2 * STEP) for x in (asks, target, real))
         order = np.random.Generator(np.random.PCG64(seed)).permutation(len(asks))
-        m = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        s = {k: np.zeros_like(v) for k, v in self.weights.items()}
+        # All weights stand in one array, which the steps change in place.
+        shapes = {k: v.shape for k, v in self.weights.items()}
+        flat = np.concatenate([v.reshape(-1) for v in self.weights.values()])
+        parts = np.split(flat, np.cumsum([v.size for v in self.weights.values()])[:-1])
+        self.weights = {k: v.reshape(shape) for (k, shape), v in zip(shapes.items(), parts, strict=True)}
+        m, s = np.zeros((2, len(flat)), np.float32)
         seen, steps = 0, max(1, -(-len(order) // batch))
         for t in range(steps):
             pick = order[t * batch : (t + 1) * batch]
@@ -232,12 +271,20 @@ class Attention:
             _, n_real, g = self.gradients(asks[pick], target[pick], real[pick])
             seen += n_real
             now = rate * (1 - 0.9 * t / steps) * min(1, (t + 1) / 10)
-            for k, grad in g.items():
-                grad = grad / np.float32(max(1, n_real))
-                m[k] += np.float32(0.1) * (grad - m[k])
-                s[k] += np.float32(0.01) * (grad * grad - s[k])
-                root = np.sqrt(s[k] / np.float32(1 - 0.99 ** (t + 1))) + np.float32(1e-6)
-                self.weights[k] = self.weights[k] - np.float32(now / (1 - 0.9 ** (t + 1))) * m[k] / root
+            # Adam with 0.9 and 0.99: a tenth of the gradient goes into m, and its square is the hundredth that goes into s.
+            step = np.concatenate([g[k].reshape(-1) for k in shapes])
+            step *= np.float32(0.1 / max(1, n_real))
+            m *= np.float32(0.9)
+            m += step
+            np.multiply(step, step, out=step)
+            s *= np.float32(0.99)
+            s += step
+            unbiased = np.sqrt(1 - 0.99 ** (t + 1))
+            np.sqrt(s, out=step)
+            step += np.float32(1e-6 * unbiased)
+            np.divide(m, step, out=step)
+            step *= np.float32(now * unbiased / (1 - 0.9 ** (t + 1)))
+            flat -= step
         return seen
 
 

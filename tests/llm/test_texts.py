@@ -363,6 +363,38 @@ def test_every_window_moves_attention():
     assert moved[ids[:-1]].all() and size // wide > 2 * 4
 
 
+def test_training_is_plain_adam():
+    rng = np.random.default_rng(6)
+    n, wide, steps = 40, 2 * STEP, 3
+    counts = rng.integers(0, 5, (n, n)).astype(float)
+    ids, first = rng.integers(0, n, 4 * steps * wide + 1), np.array([0, 4 * steps * wide])
+    model, plain = Attention.from_counts(counts), Attention.from_counts(counts)
+    given, copies = dict(model.weights), {k: v.copy() for k, v in model.weights.items()}
+    model.train(ids, first, batch=4, rate=0.01, seed=1)
+    assert all((given[k] == copies[k]).all() for k in given)
+    assert len({id(v.base) for v in model.weights.values()}) == 1 and model.weights["q"].base is not None  # a step moves all at once
+    asks, target = (x.reshape(-1, wide) for x in padded(ids, first, wide)[:2])
+    order = np.random.Generator(np.random.PCG64(1)).permutation(len(asks))
+    m, s = dict.fromkeys(given, 0.0), dict.fromkeys(given, 0.0)
+    for t in range(steps):
+        pick = order[4 * t : 4 * t + 4]
+        _, seen, g = plain.gradients(asks[pick], target[pick], np.ones((4, wide), bool))
+        for k in g:
+            grad = g[k].astype(float) / seen
+            m[k], s[k] = 0.9 * m[k] + 0.1 * grad, 0.99 * s[k] + 0.01 * grad**2
+            step = m[k] / (1 - 0.9 ** (t + 1)) / (np.sqrt(s[k] / (1 - 0.99 ** (t + 1))) + 1e-6)
+            plain.weights[k] = (plain.weights[k] - 0.01 * (1 - 0.9 * t / steps) * (t + 1) / 10 * step).astype(np.float32)
+    assert all(np.allclose(model.weights[k], plain.weights[k], atol=1e-5) for k in given)
+    assert not np.allclose(model.weights["q"], given["q"], atol=1e-5)
+
+
+def test_hyperbolic_tangents():
+    from lemmaflow.llm.attention import _tanh
+
+    x = np.array([-np.inf, -200, -30, -1, -1e-3, 0, 1e-3, 1, 30, 200, np.inf], np.float32)
+    assert np.allclose(_tanh(x.copy()), np.tanh(x), rtol=0, atol=3e-7)
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(3)
     n = 50
