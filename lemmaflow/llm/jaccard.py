@@ -28,8 +28,9 @@ would put nearly all rows into one region. The join therefore descends:
    the windows would cover most cells, the region is taken in blocks of ``PART`` owners.
 
 Whatever passes the bound is verified on the whole texts. A pass offers each point at
-most ``k`` candidates of each other component, and ``k`` grows until nobody holds
-candidates back, so no link is lost and output stays linear in the region.
+most ``k`` candidates in a cell, of as many other components as it can, nearest first.
+Components then merge, which leaves fewer to offer, and ``k`` grows until nobody holds
+candidates back, so no link is lost and a pass's output stays linear in the region.
 
 Edge cases: null and empty texts, or texts without words, have empty sets and
 link with nothing; texts under k words have one shingle, the whole sequence;
@@ -57,6 +58,8 @@ from .text import Block, blocks, mix, window_hash
 BINS = 256
 #: Members of a cell, cells made of a region at once, the rows a cut may make of one, and the cuts one after another.
 PART, CELLS, GROWTH, TURNS = 500, 32, 3, 8
+#: Candidates of a member that a cell offers in the first pass.
+MOST = 4
 #: A shingle in more windows than this goes last in the order, up to so many shingles.
 CROWD, MOST_CROWDED = 32, 1 << 20
 #: Members of a region beyond which they are dealt anew, by the order of their own.
@@ -138,10 +141,14 @@ def points(docs: DataFrame, last: np.ndarray, k: int, num: int, den: int) -> Dat
 
 
 def _regions(rows: DataFrame) -> DataFrame:
-    """(node, key) rows of shingles in two windows or more, with cnt, the members, and one of them as pivot."""
+    """(node, key) rows of shingles in two windows or more, with cnt, the members, and one of them as pivot.
+
+    Near copies share most of their windows; of shingles with the same members, told by sums of two hashes, one is kept."""
+    sums = [F.sum(F.shiftright(F.xxhash64("node", F.lit(i)), 32)).alias(f"s{i}") for i in (1, 2)]
+    found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min("node").alias("pivot"), *sums).where("cnt > 1")
     # A written count has a shuffle of its own in the join, so a crowded key's rows can be split there.
-    found = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min("node").alias("pivot")).where("cnt > 1"), "found")
-    return written(rows.join(found, "key").select("key", "node", "cnt", "pivot"), "regions")
+    one = written(found.groupBy("cnt", "pivot", "s1", "s2").agg(F.min("key").alias("key")).select("key", "cnt", "pivot"), "found")
+    return written(rows.join(one, "key").select("key", "node", "cnt", "pivot"), "regions")
 
 
 def _dealt_anew(regions: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -302,13 +309,15 @@ def _split(apart: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _candidates(cells: DataFrame, nodes: DataFrame, most: int, num: int, den: int) -> DataFrame:
-    """(a, b, held) for members of one cell in different components, at least one of them no guest; held: a has more than ``most`` candidates in that component."""
+    """(a, b, held) for members of one cell in different components, at least one of them no guest: of each a the ``most`` first,
+    the nearest of each component before its others; held: a has more than these, told once a cell."""
     cols = ("key", "part", "node", "comp", "guest", "n")
 
     def pairs(at: dict[str, np.ndarray], pooled: np.ndarray) -> Iterator[tuple[int, int, bool]]:
         own = np.flatnonzero(~at["guest"])
         if len(np.unique(at["comp"])) < 2:
             return
+        told = False
         for i in own:
             apart = np.abs(pooled - pooled[i]).sum(axis=1, dtype=np.int64)
             ok = _near(at["n"] + at["n"][i], apart, num, den) & (at["comp"] != at["comp"][i])
@@ -318,11 +327,12 @@ def _candidates(cells: DataFrame, nodes: DataFrame, most: int, num: int, den: in
                 comp = at["comp"][found]
                 starts = np.flatnonzero(np.append(True, comp[1:] != comp[:-1]))
                 rank = np.arange(len(found)) - np.repeat(starts, np.diff(np.append(starts, len(found))))
-                for j, r in zip(found, rank, strict=True):
-                    if r < most:
-                        yield int(at["node"][i]), int(at["node"][j]), False
-                    elif r == most:
-                        yield int(at["node"][i]), int(at["node"][j]), True
+                found = found[np.lexsort((apart[found], rank))]
+                for j in found[:most]:
+                    yield int(at["node"][i]), int(at["node"][j]), False
+                if len(found) > most and not told:
+                    told = True
+                    yield int(at["node"][i]), int(at["node"][found[most]]), True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -367,7 +377,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     tested = written(_can_link(stars, nodes, num, den), "pairs")
     links = written(_verified(tested, docs, k, num, den), "links")
     comps = connected_components(links)
-    most = 16
+    most = MOST
     while True:
         cells = written(_split(_apart(regions, comps), nodes, num, den), "split")
         offered = written(_candidates(cells, nodes, most, num, den), "offered")
@@ -382,6 +392,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             tested = tested.union(pairs)
         if offered.where("held").isEmpty():
             break
-        most *= 16
+        most *= 64
     grouped = light.join(same, ["n", "sig1", "sig2"], "left").join(comps.withColumnRenamed("comp", "_comp"), "node", "left")
     return grouped.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("_comp", "node", "doc_id")).alias("component_id"))

@@ -125,6 +125,28 @@ def test_graded_copies_stay_few_rows(spark, monkeypatch, dense):
     assert seen[0].count() <= 10 * len(rows)
 
 
+def test_one_cluster_offers_few_pairs(spark):
+    """Pairs that a pass offers for near copies follow their number, not its square; nothing is held back unsaid."""
+    n = 120
+    cells = spark.range(n).selectExpr("7L as key", "0 as part", "id as node", "id as comp", "false as guest")
+    histogram = lambda i: bytearray([200, 200, i % 3, *[0] * (jaccard.BINS - 3)])
+    nodes = spark.createDataFrame([(i, 400, histogram(i)) for i in range(n)], "doc_id long, n long, pooled binary")
+    got = jaccard._candidates(cells, nodes, 4, 85, 100).collect()
+    assert any(r["held"] for r in got) and len(got) <= 4 * n + 1
+    assert {r["a"] for r in got} == set(range(n))
+    last = jaccard._candidates(cells, nodes, n, 85, 100).collect()
+    assert {(r["a"], r["b"], r["held"]) for r in last} == {(a, b, False) for a in range(n) for b in range(n) if a != b}
+
+
+def test_regions_of_equal_members_are_one(spark):
+    """Also with rows repeated; regions that only share some members, or their number, stay."""
+    held = {1: [1, 2, 3], 2: [1, 2, 3], 3: [1, 2, 4], 4: [2, 3], 5: [5], 6: [1, 1, 2, 2], 7: [1, 1, 3, 3], 8: [1, 2, 3]}
+    rows = spark.createDataFrame([(k, x) for k, nodes in held.items() for x in nodes], "key long, node long")
+    found = jaccard._regions(rows).collect()
+    got = sorted((tuple(sorted(r["node"] for r in found if r["key"] == k)), cnt, pivot) for k, cnt, pivot in {(r["key"], r["cnt"], r["pivot"]) for r in found})
+    assert got == [((1, 1, 2, 2), 4, 1), ((1, 1, 3, 3), 4, 1), ((1, 2, 3), 3, 1), ((1, 2, 4), 3, 1), ((2, 3), 2, 2)]
+
+
 def test_jaccard_nulls_repeats_and_none(spark):
     rows = [(7, "a b c d e"), (7, "a b c d e"), (None, "a b c d e"), (9, "A b c d e")]
     got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(frame(spark, rows), 4, 85, 100).collect())
