@@ -33,12 +33,6 @@ def _ones(n: int) -> np.ndarray:
     return np.ones((n, 1), np.float32)
 
 
-@lru_cache(maxsize=4)
-def _cells(rows: int, columns: int) -> np.ndarray:
-    """The places of a table's cells, row by row."""
-    return np.arange(rows * columns).reshape(rows, columns)
-
-
 def _tanh(x: np.ndarray) -> np.ndarray:
     """Hyperbolic tangents in place, by exponentials, which numpy is faster at; one beyond float32 gives 1."""
     x *= 2
@@ -146,11 +140,11 @@ class Attention:
         weights = {"embed": (rng.standard_normal((size, DIM)) * 0.3).astype(np.float32), "state": (rng.standard_normal((size, DIM)) * 0.3).astype(np.float32), "q": normal(DIM, DIM), "k": normal(DIM, DIM), "v": normal(DIM, DIM), "lag": np.zeros(2 * STEP, np.float32), "out": np.zeros((DIM, CLASSES), np.float32)}
         return cls(np.log(pair).astype(np.float32), np.log(np.maximum(by_class, 1e-30)).astype(np.float32), classes, 0.5, weights)
 
-    def _tables(self) -> np.ndarray:
-        """Of each subword, one after the other: queries (scaled), keys, values, states."""
+    def _tables(self) -> tuple[np.ndarray, ...]:
+        """Of each subword: queries (scaled), keys, values, states; numpy gathers from four tables in half the time it needs along the second axis of one."""
         w = self.weights
         e = w["embed"]
-        return np.stack([e @ (w["q"] / np.float32(np.sqrt(DIM))), e @ w["k"], e @ w["v"], w["state"]])
+        return e @ (w["q"] / np.float32(np.sqrt(DIM))), e @ w["k"], e @ w["v"], w["state"]
 
     def _logits(self, q: np.ndarray, k: np.ndarray, v: np.ndarray, state: np.ndarray, alone: np.ndarray | None = None) -> tuple:
         """Attention of windows: queries q are the last of the places that have keys k and values v; ``alone`` windows see only places with queries."""
@@ -193,8 +187,8 @@ class Attention:
         for lo in range(0, len(alone), batch):
             here = asks[lo * STEP : (lo + batch + 1) * STEP]
             last, goal = here[STEP:], target[lo * STEP : (lo + batch) * STEP]
-            q, k, v, state = tables.take(here, axis=1)
-            *_, logits = self._logits(q[STEP:].reshape(-1, STEP, DIM), overlapping(k), overlapping(v), state[STEP:], alone[lo : lo + batch])
+            q, k, v, state = (table.take(x, axis=0) for table, x in zip(tables, (last, here, here, last), strict=True))
+            *_, logits = self._logits(q.reshape(-1, STEP, DIM), overlapping(k), overlapping(v), state, alone[lo : lo + batch])
             told = pair.take(last * size + goal)
             told += logits.reshape(-1).take(rows[: len(goal)] + self.classes.take(goal))
             logits += self.to_class.take(last, axis=0)
@@ -209,7 +203,7 @@ class Attention:
         w = self.weights
         shape = (*here.shape, DIM)
         last, real = here.reshape(-1), real.reshape(-1)
-        q, k, v, state = self._tables().take(last, axis=1)
+        q, k, v, state = (table.take(last, axis=0) for table in self._tables())
         q, k, v = q.reshape(shape), k.reshape(shape), v.reshape(shape)
         attn, hidden, logits = self._logits(q, k, v, state)
         at = np.arange(0, logits.size, CLASSES) + self.classes.take(target.reshape(-1))
@@ -225,7 +219,7 @@ class Attention:
         np.subtract(1, hidden, out=hidden)
         d_mixed = p @ w["out"].T
         d_mixed *= hidden
-        cells = _cells(len(w["embed"]), DIM).take(last, axis=0).reshape(-1)
+        cells = np.add.outer(last * DIM, np.arange(DIM)).reshape(-1)
 
         def by_subword(x: np.ndarray) -> np.ndarray:
             return np.bincount(cells, x.reshape(-1), w["embed"].size).reshape(-1, DIM).astype(np.float32)
