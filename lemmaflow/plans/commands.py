@@ -11,6 +11,7 @@ from ..functions import proofs, texts
 from ..functions.diffs import unified_diff
 from ..operators import datasets, evaluation, explore, holes, lifecycle
 from ..sources import gitlog, records
+from .scratch import written
 
 
 def dump_commits(spark: SparkSession, log_path: str, extension: str = ".v") -> DataFrame:
@@ -85,7 +86,8 @@ def stats(challenges: DataFrame) -> DataFrame:
 
 def trace(challenges: DataFrame, commits: DataFrame, blobs: DataFrame) -> DataFrame:
     """Lifecycle records from challenges, commits and file contents (hash, file, content)."""
-    return lifecycle.lifecycles(lifecycle.open_commits(lifecycle.history(lifecycle.proved_declarations(challenges, commits), commits), blobs))
+    proved = written(lifecycle.proved_declarations(challenges, commits), "proved")
+    return lifecycle.lifecycles(lifecycle.open_commits(proved, commits, blobs), proved)
 
 
 def summarise_runs(spark: SparkSession, paths: str | list[str]) -> dict[str, DataFrame]:
