@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import vocab
+from ..batches import BATCH_BYTES, small_batches
 
 #: Characters that end a line in a text; a last empty line doesn't count.
 _BREAKS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
@@ -36,12 +37,13 @@ def with_context(lines: DataFrame, keys: list[str], before: int = 3, after: int
     return lines.withColumn("context", F.array_join(F.collect_list("text").over(around), "\n"))
 
 
-_HOLE = T.StructType([T.StructField("line", T.IntegerType()), T.StructField("column", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("context", T.StringType()), T.StructField("enclosing_decl", T.StringType())])
+_PLACE = T.StructType([T.StructField("column", T.IntegerType()), T.StructField("kind", T.StringType())])
+_LINE = [T.StructField("line", T.IntegerType()), T.StructField("context", T.StringType()), T.StructField("enclosing_decl", T.StringType()), T.StructField("_places", T.ArrayType(_PLACE))]
 
 
-def holes_in(content: str, markers: Iterable[str], declaration: str, before: int = 3, after: int = 3) -> list[tuple[int, int, str, str, str]]:
-    """Line, column, kind, context and enclosing declaration of each hole, in one pass over the lines."""
-    lines, name, out = content.splitlines(), "", []
+def holes_in(content: str, markers: Iterable[str], declaration: str, before: int = 3, after: int = 3) -> Iterator[tuple[int, str, str, list[tuple[int, str]]]]:
+    """Each line with holes: its number, context, enclosing declaration, and column and kind of each hole, in one pass over the lines."""
+    lines, name = content.splitlines(), ""
     declared = re.compile(declaration)
     marks = [(m.lower(), re.compile(rf"\b{m}\b")) for m in markers]
     for i, line in enumerate(lines):
@@ -49,23 +51,43 @@ def holes_in(content: str, markers: Iterable[str], declaration: str, before: int
             name = found[1]
         places = [(m.start(), kind) for kind, mark in marks for m in mark.finditer(line)]
         if places:
-            context = "\n".join(lines[max(0, i - before) : i + after + 1])
-            out += [(i + 1, column, kind, context, name) for column, kind in places]
-    return out
+            yield i + 1, "\n".join(lines[max(0, i - before) : i + after + 1]), name, places
 
 
 def found_holes(files: DataFrame, keys: list[str], markers: list[str] | tuple[str, ...], declaration: str, content: str = "content") -> DataFrame:
     """Every hole of files: keys, line, column (0-based), kind, context and enclosing_decl.
 
     The declaration above a line is carried on from line to line, which array expressions could only do at a
-    cost that grows with the square of the lines; so a file, one row, is read in an Arrow batch. No line is shuffled."""
-
-    @F.pandas_udf(T.ArrayType(_HOLE))
-    def holes(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: [dict(zip(_HOLE.names, h, strict=True)) for h in holes_in(t, markers, declaration)])
-
-    some = files.where(F.col(content).rlike(rf"(?U)\b(?:{'|'.join(markers)})\b"))
-    return some.select(*keys, F.explode(holes(F.col(content))).alias("h")).select(*keys, "h.*")
+    cost that grows with the square of the lines; so a file, one row, is read in an Arrow batch. No line is shuffled.
+    A line's context leaves Python once for all its holes, in batches of bounded bytes: where texts have few lines,
+    contexts of all holes are many times the text."""
+    small_batches(files.sparkSession)
+    some = files.where(F.col(content).rlike(rf"(?U)\b(?:{'|'.join(markers)})\b")).select(*keys, F.col(content).alias("_content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = pa.struct([("column", pa.int32()), ("kind", pa.string())])
+        types = [pa.int32(), pa.string(), pa.string(), pa.list_(place)]
+
+        def made(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+            return pa.RecordBatch.from_arrays([*batch.select(keys).take(pa.array(at)).columns, *columns], [*keys, *(f.name for f in _LINE)])
+
+        for batch in batches:
+            at, rows, held = [], [], 0
+            for i, text in enumerate(batch.column("_content")):
+                for row in holes_in(text.as_py(), markers, declaration):
+                    at.append(i)
+                    rows.append(row)
+                    # A place takes some 200 bytes before it is in Arrow's form.
+                    held += 4 * len(row[1]) + 200 * len(row[3])
+                    if held > BATCH_BYTES:
+                        yield made(batch, at, rows)
+                        at, rows, held = [], [], 0
+            if rows:
+                yield made(batch, at, rows)
+
+    lines = some.mapInArrow(run, T.StructType([*some.select(*keys).schema.fields, *_LINE]))
+    return lines.select(*keys, "line", "context", "enclosing_decl", F.explode("_places").alias("h")).select(*keys, "line", "h.*", "context", "enclosing_decl")
 
 
 def filled_holes(parent: DataFrame, child: DataFrame, keys: list[str]) -> DataFrame:

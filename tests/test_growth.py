@@ -7,16 +7,17 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from lemmaflow.operators import holes as H
 from lemmaflow.plans import commands
 from lemmaflow.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
 
-def most_rows(df):
-    """The most rows of any join or shuffle of the plan that ran."""
+def metrics_of(df, *wanted):
+    """The values of the named metrics in the plan that ran, each for nodes whose name holds a word."""
     df.collect()
-    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    found, todo = [0], [df._jdf.queryExecution().executedPlan()]
     while todo:
         node = todo.pop()
         kind = node.getClass().getSimpleName()
@@ -24,18 +25,17 @@ def most_rows(df):
             todo.append(node.executedPlan())
         elif kind.endswith("QueryStageExec"):
             todo.append(node.plan())
-        for of, name in (("Join", "numOutputRows"), ("Exchange", "shuffleRecordsWritten")):
-            if of in kind and node.metrics().contains(name):
-                most = max(most, node.metrics().apply(name).value())
+        found += [node.metrics().apply(name).value() for of, name in wanted if of in kind and node.metrics().contains(name)]
         children = node.children()
         todo += [children.apply(i) for i in range(children.size())]
-    return most
+    return found
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 def test_histories_are_not_multiplied_by_declarations(spark):
     """41 declarations a file: joins and shuffles have its commits as one row each."""
-    assert most_rows(QUERIES["lifecycle_records"](spark, DATA)) <= spark.read.parquet(f"{DATA}/events.parquet").count()
+    rows = metrics_of(QUERIES["lifecycle_records"](spark, DATA), ("Join", "numOutputRows"), ("Exchange", "shuffleRecordsWritten"))
+    assert 1 < max(rows) <= spark.read.parquet(f"{DATA}/events.parquet").count()
 
 
 def test_trace(spark):
@@ -53,3 +53,25 @@ def test_trace(spark):
     assert (b["declaration"], b["hole_kind"], b["n_commits_with_hole"], b["proof_complete_hash"], b["days_to_prove"]) == ("b", "admit", 4, "h5", 4)
     assert [e["hash"] for e in b["commit_timeline"]] == ["h1", "h2", "h3", "h4"] and b["commit_timeline"][3]["net_proof_lines"] == 4
     assert b["n_tactic_groups"] == 2 and b["tactic_groups_used"] == ["g", "k"] and b["group_commit_counts"] == {"g": 3, "k": 1} and b["top_tactics"] == ["auto"]
+
+
+LINE = "Lemma the " + "word the " * 1000
+DECLARED = r"^\s*Lemma\s+(\w+)"
+
+
+def long_lines(spark, n):
+    return spark.range(n, numPartitions=1).select("id", F.lit("x\n" + LINE).alias("content"))
+
+
+def test_contexts_leave_python_once_a_line(spark):
+    """1,001 holes in a line of 9 kB share one context of that size; a context for each would be 9 MB."""
+    (sent,) = [n for n in metrics_of(H.found_holes(long_lines(spark, 1), ["id"], ["the"], DECLARED), ("", "pythonDataReceived")) if n]
+    assert sent < 10 * len(LINE)
+
+
+def test_holes_over_many_batches(spark):
+    found = H.found_holes(long_lines(spark, 100), ["id"], ["the"], DECLARED)
+    assert found.columns == ["id", "line", "column", "kind", "context", "enclosing_decl"]
+    by = found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("column").alias("c"), F.max("column").alias("last"), F.min("column").alias("first")).collect()
+    assert len(by) == 100 and {(r["n"], r["c"], r["last"], r["first"]) for r in by} == {(1001, 1001, LINE.rindex("the"), 6)}
+    assert [tuple(r) for r in found.select("line", "kind", "context", "enclosing_decl").distinct().collect()] == [(2, "the", "x\n" + LINE, "the")]
