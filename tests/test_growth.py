@@ -75,3 +75,13 @@ def test_holes_over_many_batches(spark):
     by = found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("column").alias("c"), F.max("column").alias("last"), F.min("column").alias("first")).collect()
     assert len(by) == 100 and {(r["n"], r["c"], r["last"], r["first"]) for r in by} == {(1001, 1001, LINE.rindex("the"), 6)}
     assert [tuple(r) for r in found.select("line", "kind", "context", "enclosing_decl").distinct().collect()] == [(2, "the", "x\n" + LINE, "the")]
+
+
+def test_contexts_of_filled_holes_leave_python_once_a_line(spark):
+    """The same for both sides of a change, with what it filled: the first line's holes, for the second line's stay."""
+    parent = long_lines(spark, 1).withColumn("content", F.concat("content", F.lit("\nLemma foo "), F.lit("the " * 3)))
+    child = parent.withColumn("content", F.replace("content", F.lit("Lemma the "), F.lit("Lemma bar ")))
+    sides = [H.found_holes(df, ["id"], ["the"], DECLARED) for df in (parent, child)]
+    out = H.challenges(H.filled_holes(*sides, ["id"]), ["id"]).select("n_holes", F.col("holes_filled")[0]["line"].alias("first"))
+    sent = metrics_of(out, ("", "pythonDataReceived"))
+    assert [tuple(r) for r in out.collect()] == [(1001, 2)] and 0 < max(sent) < 10 * len(LINE)
