@@ -96,8 +96,8 @@ def filled_holes(parent: DataFrame, child: DataFrame, keys: list[str]) -> DataFr
 
 
 def challenges(filled: DataFrame, keys: list[str]) -> DataFrame:
-    """Per file with filled holes: them in order of line and column, as one array."""
-    hole = F.struct("line", "column", "kind", "context", "enclosing_decl")
+    """Per file with filled holes: them in order of line and column, as one array, with those of their fields that are there."""
+    hole = F.struct(*[c for c in ("line", "column", "kind", "context", "enclosing_decl") if c in filled.columns])
     return filled.groupBy(*keys).agg(F.array_sort(F.collect_list(hole)).alias("holes_filled"), F.count(F.lit(1)).alias("n_holes"))
 
 
